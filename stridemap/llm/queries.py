@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stridemap.llm.decontaminate import find_contamination
+from stridemap.llm.substring_dedup import repeated_spans
 from stridemap.llm.token_output import read_shards, write_shards
 from stridemap.session import read
 
@@ -31,9 +32,15 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(write_shards(read(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY)))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_spans(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256")
+
+
 QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op7_token_output": op7_token_output,
+    "op8_substring_dedup": op8_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {}
