@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stridemap.llm.decontaminate import find_contamination
+from stridemap.llm.near_dedup import near_duplicates
 from stridemap.llm.substring_dedup import repeated_spans
 from stridemap.llm.token_output import read_shards, write_shards
 from stridemap.session import read
@@ -26,6 +27,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -39,6 +45,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_decontamination": op3_decontamination,
+    "op4_near_dedup": op4_near_dedup,
     "op7_token_output": op7_token_output,
     "op8_substring_dedup": op8_substring_dedup,
 }
