@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stridemap.llm.decontaminate import find_contamination
+from stridemap.llm.mixing import mix
 from stridemap.llm.near_dedup import near_duplicates
 from stridemap.llm.substring_dedup import repeated_spans
 from stridemap.llm.token_output import read_shards, write_shards
@@ -43,11 +44,17 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256")
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mix(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_near_dedup": op4_near_dedup,
     "op7_token_output": op7_token_output,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_mixing": op9_mixing,
 }
 
 ORACLES: dict[str, str] = {}
