@@ -10,6 +10,7 @@ from stridemap.llm.mixing import mix
 from stridemap.llm.near_dedup import near_duplicates
 from stridemap.llm.substring_dedup import repeated_spans
 from stridemap.llm.token_output import read_shards, write_shards
+from stridemap.llm.toxicity import toxicity
 from stridemap.session import read
 
 #: Name of the vocabulary file of token output; its place is looked up when the query runs.
@@ -49,12 +50,18 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted", "mean_ratio", "span_ratio")
+
+
 QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_near_dedup": op4_near_dedup,
     "op7_token_output": op7_token_output,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_mixing": op9_mixing,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
