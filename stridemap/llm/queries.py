@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stridemap.llm.decontaminate import find_contamination
 from stridemap.llm.mixing import mix
 from stridemap.llm.near_dedup import near_duplicates
+from stridemap.llm.quality_rules import quality
 from stridemap.llm.substring_dedup import repeated_spans
 from stridemap.llm.token_output import read_shards, write_shards
 from stridemap.llm.toxicity import toxicity
@@ -34,6 +35,11 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("distance", 6).alias("distance"))
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -52,12 +58,13 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
-    return found.select("doc_id", "held_out", "score", "predicted", "mean_ratio", "span_ratio")
+    return found.select("doc_id", "held_out", "score", "predicted")
 
 
 QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_near_dedup": op4_near_dedup,
+    "op5_quality_rules": op5_quality_rules,
     "op7_token_output": op7_token_output,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_mixing": op9_mixing,
