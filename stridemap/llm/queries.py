@@ -9,10 +9,12 @@ from stridemap.llm.decontaminate import find_contamination
 from stridemap.llm import line_dedup
 from stridemap.llm.mixing import mix
 from stridemap.llm.near_dedup import near_duplicates
+from stridemap.llm.quality_classifier import classify
 from stridemap.llm.quality_rules import quality
 from stridemap.llm.substring_dedup import repeated_spans
 from stridemap.llm.token_output import read_shards, write_shards
 from stridemap.llm.toxicity import toxicity
+from stridemap.llm.url_filter import filter_urls
 from stridemap.session import read
 
 #: Name of the vocabulary file of token output; its place is looked up when the query runs.
@@ -24,6 +26,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", F.round("evidence", 6).alias("evidence"), F.round("site_share", 6).alias("site_share"), F.round("score", 6).alias("score"), "kept")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select(
@@ -46,6 +53,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("distance", 6).alias("distance"))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = filter_urls(read(spark, sf_dir, "pages"))
+    return found.select("page_id", "host", "path", "rule", "verdict", "template", F.round("purity", 6).alias("purity"))
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -69,9 +81,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_decontamination": op3_decontamination,
     "op4_near_dedup": op4_near_dedup,
     "op5_quality_rules": op5_quality_rules,
+    "op6_url_filter": op6_url_filter,
     "op7_token_output": op7_token_output,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_mixing": op9_mixing,
