@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from stridemap.plans import road_queries, scalar_queries, transit_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**transit_queries.QUERIES, **road_queries.QUERIES, **scalar_queries.QUERIES}
+ORACLES: dict[str, str] = {**transit_queries.ORACLES, **road_queries.ORACLES, **scalar_queries.ORACLES}
