@@ -16,7 +16,7 @@ and recursion ends after two rounds:
 2. Remaining suffixes. Every start at most 132 bytes before a kept sample is sorted by its own
    prefix of 200 bytes, and neighbours in that order are compared.
 
-Prefixes are named by 64-bit hashes (48 bits and the bucket's for the samples, where a
+Prefixes are named by 64-bit hashes (40 bits and the bucket's for the samples, where a
 collision only costs work), so that a sort compares numbers. A start is wrongly named with a probability of the
 number of candidate starts over 2**64.
 
@@ -38,6 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,6 +63,10 @@ def difference_cover(q: int) -> np.ndarray:
     raise ValueError("q must be prime")
 
 
+#: Low bytes of a name that are sent; the top bits are the bucket's number, of 8 bits or more.
+SAMPLE_WIDTH, START_WIDTH = 5, 7
+
+
 class Cover:
     """A difference cover that suits strings of `length` bytes."""
 
@@ -80,7 +85,7 @@ class Chunk:
     """Texts in one byte array."""
 
     def __init__(self, data: bytes, offsets: bytes, cover: Cover):
-        self.data, self.offsets, self.cover = np.frombuffer(data, np.uint8), np.frombuffer(offsets, np.int64), cover
+        self.data, self.offsets, self.cover = np.frombuffer(zstandard.decompress(data), np.uint8), np.frombuffer(offsets, np.int64), cover
         self.prefix = wordscan.prefix_hash(self.data)
 
     def samples(self) -> np.ndarray:
@@ -165,7 +170,7 @@ def repeated(blobs: DataFrame, width: int) -> DataFrame:
 
 
 def pack_chunks(rows: DataFrame, chunk_bytes: int) -> DataFrame:
-    """Rows (key, text, copies) as rows of about chunk_bytes: chunk, keys, copies, offsets, data."""
+    """Rows (key, text, copies) as rows of about chunk_bytes: chunk, n_bytes, keys, copies, offsets, data (compressed)."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -179,8 +184,8 @@ def pack_chunks(rows: DataFrame, chunk_bytes: int) -> DataFrame:
             table = pa.Table.from_batches(held).combine_chunks()
             data, offsets = wordscan.utf8(table.column("text"))
             out = pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int64()), pa.array([table.column("key").to_pylist()], pa.list_(pa.string())), pa.array([table.column("copies").to_pylist()], pa.list_(pa.int64())), pa.array([offsets.astype("<i8").tobytes()], pa.binary()), pa.array([data.tobytes()], pa.binary())],
-                names=["chunk", "keys", "copies", "offsets", "data"],
+                [pa.array([part], pa.int64()), pa.array([len(data)], pa.int64()), pa.array([table.column("key").to_pylist()], pa.list_(pa.string())), pa.array([table.column("copies").to_pylist()], pa.list_(pa.int64())), pa.array([offsets.astype("<i8").tobytes()], pa.binary()), pa.array([zstandard.compress(data.tobytes(), 1)], pa.binary())],
+                names=["chunk", "n_bytes", "keys", "copies", "offsets", "data"],
             )
             part += 1
             return out
@@ -195,7 +200,7 @@ def pack_chunks(rows: DataFrame, chunk_bytes: int) -> DataFrame:
         if held:
             yield flush()
 
-    return rows.mapInArrow(pack, "chunk bigint, keys array<string>, copies array<bigint>, offsets binary, data binary")
+    return rows.mapInArrow(pack, "chunk bigint, n_bytes bigint, keys array<string>, copies array<bigint>, offsets binary, data binary")
 
 
 def repeated_spans(
@@ -204,14 +209,14 @@ def repeated_spans(
     id_col: str = "doc_id",
     text_col: str = "text",
     length: int = 200,
-    chunk_bytes: int = 3 << 20,
+    chunk_bytes: int = 4 << 20,
+    bucket_bytes: int = 8 << 20,
     with_kept: bool = False,
 ) -> DataFrame:
     """One row for each document: id, n_bytes, n_removed, spans (removed [start, end) in bytes),
     kept_sha256, and the kept bytes if asked for."""
     spark = docs.sparkSession
     cover = Cover(length)
-    bits = max(1, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     # the kept bytes go with the document; then its text is read along
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
@@ -219,11 +224,15 @@ def repeated_spans(
     distinct = long.groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     chunks = materialize(pack_chunks(distinct.select("key", "text", "copies"), chunk_bytes), "chunks")
     release(spark)
+    total = chunks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("n")).first()["n"]
+    # buckets of at most about bucket_bytes of names, if every start were a candidate in the second round
+    bits = max(8, (int(total * cover.member.mean() * SAMPLE_WIDTH) // bucket_bytes).bit_length())
+    more_bits = max(8, (total * START_WIDTH // (2 * bucket_bytes)).bit_length())
 
     def send_samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             chunk = Chunk(row["data"], row["offsets"], cover)
-            yield from _blobs(row["chunk"], chunk.names(chunk.samples(), cover.short), bits, 6)
+            yield from _blobs(row["chunk"], chunk.names(chunk.samples(), cover.short), bits, SAMPLE_WIDTH)
 
     def starts_of(row: dict) -> tuple[Chunk, np.ndarray]:
         chunk = Chunk(row["data"], row["offsets"], cover)
@@ -234,24 +243,26 @@ def repeated_spans(
     def send_starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             chunk, starts = starts_of(row)
-            yield from _blobs(row["chunk"], chunk.names(starts, length), bits, 8)
+            yield from _blobs(row["chunk"], chunk.names(starts, length), more_bits, START_WIDTH)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            change = np.zeros(len(row["data"]) + 1, np.int32)
+            offsets = np.frombuffer(row["offsets"], np.int64)
+            change = np.zeros(int(offsets[-1]) + 1, np.int32)
+            data = None
             if row["masks"]:
                 chunk, starts = starts_of(row)
-                starts = starts[flags_of(chunk.names(starts, length), row["more"], bits)]
+                data = chunk.data
+                starts = starts[flags_of(chunk.names(starts, length), row["more"], more_bits)]
                 np.add.at(change, starts, 1)
                 np.add.at(change, starts + length, -1)
             covered = np.cumsum(change[:-1]) > 0
-            offsets = np.frombuffer(row["offsets"], np.int64)
             out: list[tuple] = []
             for key, copies, a, b in zip(row["keys"], row["copies"], offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 own = covered[a:b] if copies == 1 else np.ones(b - a, bool)
                 if own.any():
                     edges = np.flatnonzero(np.diff(np.concatenate(([0], own.view(np.int8), [0])))).reshape(-1, 2)
-                    rest = np.frombuffer(row["data"], np.uint8)[a:b][~own].tobytes()
+                    rest = b"" if own.all() else data[a:b][~own].tobytes()
                     out.append((key, int(own.sum()), [{"start": s, "end": e} for s, e in edges.tolist()], hashlib.sha256(rest).hexdigest(), rest if with_kept else None))
             if out:
                 columns = list(zip(*out, strict=True))
@@ -260,9 +271,9 @@ def repeated_spans(
 
     blob = "bucket int, chunk bigint, names binary, twice binary"
     body = chunks.select("chunk", "offsets", "data")
-    first = materialize(repeated(body.mapInArrow(send_samples, blob), 6), "names")
+    first = materialize(repeated(body.mapInArrow(send_samples, blob), SAMPLE_WIDTH), "names")
     release(spark)
-    second = materialize(repeated(body.join(first, "chunk").mapInArrow(send_starts, blob), 8), "starts")
+    second = materialize(repeated(body.join(first, "chunk").mapInArrow(send_starts, blob), START_WIDTH), "starts")
     release(spark)
     both = chunks.join(first, "chunk", "left").join(second.withColumnRenamed("masks", "more"), "chunk", "left")
     removed = materialize(both.mapInArrow(judge, "key string, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept_sha256 string, kept binary"), "removed")
