@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from typing import BinaryIO
 
 import numpy as np
+import xxhash
 import zstandard
 
 MAGIC = b"STRIDE-SSTABLE-1"
@@ -52,7 +53,8 @@ def shared_prefix(a: bytes, b: bytes) -> int:
 
 
 def _key_hash(key: bytes) -> tuple[int, int]:
-    return zlib.crc32(key), zlib.crc32(key, 0x9E3779B9) | 1
+    both = xxhash.xxh3_64_intdigest(key)
+    return both >> 32, both & 0xFFFFFFFF | 1
 
 
 class BloomFilter:

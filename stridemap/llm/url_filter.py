@@ -109,7 +109,7 @@ def filter_urls(
     most_branches: int = 24,
     apart: float = 2.0,
     smoothing: float = 4.0,
-    reject_at: float = 0.6,
+    reject_at: float = 0.7,
 ) -> DataFrame:
     """One row for each page: id, host, path, rule, template, purity, verdict.
 
