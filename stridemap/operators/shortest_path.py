@@ -67,3 +67,8 @@ def routes_to(tree: DataFrame, targets: DataFrame, searches: DataFrame, max_step
         parts = at.join(tree, "search").where("false").select("search", "dest", F.lit(0).alias("back"), "src", "dst", "seconds")
     last = parts.groupBy("search", "dest").agg(F.max("back").alias("last"))
     return parts.join(last, ["search", "dest"]).select("search", "dest", (F.col("last") - F.col("back")).alias("seq"), "src", "dst", "seconds")
+
+
+def edges_from(edges: DataFrame, node: int) -> DataFrame:
+    """The edges that leave a node; on a table bucketed by src that reads one bucket."""
+    return edges.where(F.col("src") == node)

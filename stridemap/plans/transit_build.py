@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from stridemap.functions.clock import parse_service_time
@@ -53,6 +53,13 @@ def timed(visits: DataFrame) -> DataFrame:
     return visits.where("arr is not null and dep is not null")
 
 
+def counted(visits: DataFrame) -> tuple[DataFrame, Observation]:
+    """The same visits, and counters that fill while whatever reads them runs, without a pass of their own."""
+    seen = Observation("visits")
+    untimed = F.col("arr").isNull() | F.col("dep").isNull()
+    return visits.observe(seen, F.count("*").alias("n_rows"), F.count_if(untimed).alias("n_untimed")), seen
+
+
 def trip_sequences(visits: DataFrame, stops: DataFrame, trips: DataFrame, routes: DataFrame) -> DataFrame:
     """(trip_id, route_type, stop_seq, visits) of trips with two or more timed visits at known stops."""
     known = timed(visits).join(stops.select("stop_id", "stop"), "stop_id")

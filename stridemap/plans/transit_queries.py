@@ -16,7 +16,7 @@ from stridemap.session import materialize
 from stridemap.sources.fixtures import REFERENCE_DATE, transit_feed
 
 DEPARTURE, BUDGET, ORIGIN = 28_800, 5_400, 0
-BATCH = 12
+BATCH = 60
 ROUNDS = 6
 
 # ---- SQL ------------------------------------------------------------------------------------------------------------
@@ -82,11 +82,11 @@ def _search_sql(searches: str) -> str:
 
 
 ONE_SQL = f"SELECT 0 AS search, {ORIGIN} AS origin, {DEPARTURE} AS departure, {DEPARTURE + BUDGET} AS deadline"
-BATCH_SQL = f"SELECT i AS search, i * 5 AS origin, {DEPARTURE} + i * 300 AS departure, {DEPARTURE} + i * 300 + 3600 AS deadline FROM range({BATCH}) r(i)"
-LEGS_SQL = """legs AS (SELECT DISTINCT ON (key) kind, from_stop, to_stop, dep, arr, mode FROM (
-  SELECT dest, s.kind, s.from_stop, s.to_stop, s.dep, s.arr, s.mode,
+BATCH_SQL = f"SELECT i AS search, i AS origin, {DEPARTURE} + i * 60 AS departure, {DEPARTURE} + i * 60 + 3600 AS deadline FROM range({BATCH}) r(i)"
+LEGS_SQL = """legs AS (SELECT DISTINCT ON (search, key) search, kind, from_stop, to_stop, dep, arr, mode FROM (
+  SELECT search, dest, s.kind, s.from_stop, s.to_stop, s.dep, s.arr, s.mode,
     CASE WHEN s.kind = 'walk' THEN 'w' || s.from_stop || ':' || s.to_stop ELSE s.pattern || ':' || s.board_pos || ':' || s.alight_pos END AS key FROM segments)
-  ORDER BY key, dest, dep, arr)"""
+  ORDER BY search, key, dest, dep, arr)"""
 
 
 def _sql(tail: str, search: str | None = None, *more: str) -> str:
@@ -198,9 +198,12 @@ def transit_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _reached(spark, sf_dir).select("stop", "arr", "rides")
 
 
+def _many(spark: SparkSession) -> DataFrame:
+    return spark.range(BATCH).select(F.col("id").cast("int").alias("search"), F.col("id").alias("origin"), (DEPARTURE + F.col("id") * 60).cast("int").alias("departure"), F.lit(3600).alias("budget"))
+
+
 def transit_reach_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    searches = spark.range(BATCH).select(F.col("id").cast("int").alias("search"), (F.col("id") * 5).alias("origin"), (DEPARTURE + F.col("id") * 300).cast("int").alias("departure"), F.lit(3600).alias("budget"))
-    return raptor.reach(_snapshot(spark, sf_dir)[1], searches).select("search", "stop", "arr", "rides")
+    return raptor.reach(_snapshot(spark, sf_dir)[1], _many(spark)).select("search", "stop", "arr", "rides")
 
 
 def transit_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,13 +216,14 @@ def journey_to(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def itinerary_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     stops = _snapshot(spark, sf_dir)[0].stops
-    frames = [itinerary_html(_reached(spark, sf_dir), _one(spark), stops, lang).withColumn("lang", F.lit(lang)) for lang in ("en", "fr", "de")]
+    reached = _reached(spark, sf_dir)
+    frames = [itinerary_html(reached, _one(spark), stops, lang).withColumn("lang", F.lit(lang)) for lang in ("en", "fr", "de")]
     return frames[0].unionByName(frames[1]).unionByName(frames[2]).drop("search")
 
 
 def transit_tips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reached = _reached(spark, sf_dir)
-    return places.transit_tips(reached.drop("path"), raptor.network_legs(reached), _one(spark)).drop("search")
+    reached = raptor.reach(_snapshot(spark, sf_dir)[1], _many(spark))
+    return places.transit_tips(reached.drop("path"), raptor.network_legs(reached), _many(spark))
 
 
 def isochrone_hexes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -323,10 +327,10 @@ ORACLES = {
     "earliest_trip": _sql(f"SELECT pattern, any_value(stop) AS stop, arg_min(idx, (dep, idx)) AS trip, min(dep) AS dep FROM tv JOIN numbered USING (trip) WHERE pos = 0 AND dep >= {DEPARTURE} GROUP BY pattern"),
     "transit_reach": _sql("SELECT stop, arr, rides FROM reached", ONE_SQL),
     "transit_reach_batch": _sql("SELECT search, stop, arr, rides FROM reached", BATCH_SQL),
-    "transit_legs": _sql("SELECT * FROM legs", ONE_SQL, LEGS_SQL),
+    "transit_legs": _sql("SELECT * EXCLUDE (search) FROM legs", ONE_SQL, LEGS_SQL),
     "journey_to": _sql("SELECT dest, seq, s.kind, s.from_stop, s.to_stop, s.dep, s.arr, s.mode, lead(s.dep) OVER (PARTITION BY dest ORDER BY seq) - s.arr AS wait FROM segments", ONE_SQL),
     "itinerary_text": _itinerary_sql(),
-    "transit_tips": _sql(f"SELECT stop, arr FROM reached WHERE stop NOT IN (SELECT from_stop FROM legs) AND {BUDGET} - (arr - {DEPARTURE}) <= 180", ONE_SQL, LEGS_SQL),
+    "transit_tips": _sql("SELECT r.search, r.stop, r.arr FROM reached r JOIN searches q ON q.search = r.search WHERE q.deadline - r.arr <= 180 AND NOT EXISTS (SELECT 1 FROM legs l WHERE l.search = r.search AND l.from_stop = r.stop)", BATCH_SQL, LEGS_SQL),
     "isochrone_hexes": "WITH " + FEED_SQL + ",\n" + _search_sql(ONE_SQL) + ISO_SQL,
     "nearest_stop": _sql("""SELECT target, stop, d2 FROM (SELECT i AS target, stop, (easting - (2597000 + i * 137)) ** 2 + (northing - (1194000 + i * 211)) ** 2 AS d, CAST(d AS BIGINT) AS d2
       FROM used, range(20) r(i)) QUALIFY row_number() OVER (PARTITION BY target ORDER BY d2, stop) = 1"""),

@@ -48,7 +48,18 @@ def test_build(spark, tmp_path):
 def test_counts(spark, tmp_path):
     own = feed(spark, tmp_path)
     visits = tb.active_visits(own, "20260819")
-    assert visits.count() == 11 and tb.timed(visits).count() == 10
+    frame, seen = tb.counted(visits)
+    assert tb.timed(frame).count() == 10 and seen.get == {"n_rows": 11, "n_untimed": 1}
+
+
+def test_names_and_platforms(spark, tmp_path):
+    from stridemap.operators import places
+
+    table = tb.build(feed(spark, tmp_path), "20260819")
+    names = places.names_to_stops(table.stops, table.pattern_stops.select("stop").distinct())
+    ids = {r["stop_id"]: r["stop"] for r in table.stops.collect()}
+    assert places.stop_of_name(names, " C ") == ids["c"] and places.stop_of_name(names, "E") is None
+    assert places.first_platform(table.stops, 'The "Hub"') == ids["b"] and places.first_platform(table.stops, "C") is None
 
 
 def test_packed_timetable_round_trip(spark, tmp_path):
