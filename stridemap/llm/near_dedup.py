@@ -9,15 +9,19 @@ A document's set holds its distinct shingles of `k` words (lower-cased A-Z runs
    shares no band with probability 1.2e-5, one at 0.9 with 2e-8.
 3. The MinHash values are folded into an odd sketch: each value flips one of 512 bits. The
    exclusive or of two sketches holds the bits of values that differ; a population count that
-   stands for a similarity far below the threshold (five standard deviations) drops a pair.
+   stands for a similarity far below the threshold (five standard deviations) drops a pair. A second
+   sketch folds the set itself: its population count never exceeds the number of shingles that
+   only one of the two has, so it drops no linked pair, and for sets of some hundred shingles it drops nearly all others.
 4. What remains is confirmed on the full sets.
 
-No pairs are made within a band's bucket. In each round every bucket with more than one
-component names one or some hubs, by a hash of the class that is the same in all buckets;
-members are compared with hubs of another component only; then hubs leave the bucket,
-since all their links there are known, and components are joined. Rounds end when no bucket holds
-two components. Links that are not tested lie within a component, so components are those
-of all links. The number of hubs grows from round to round, so buckets of many unlike texts end too.
+No pairs are made within a band's bucket. In each round every bucket with more than one component names hubs, and
+members are compared with hubs of another component only; then hubs leave the bucket, since all their links there are known, and
+components are joined. The first hub is the most central member, the one whose buckets are largest: in a
+group of near copies it is linked with most. Then some members of its component follow, which only
+those outside are compared with, and at last those that are still outside, an eighth of them and then all. Rounds end when no bucket holds
+two components. Links that are not tested lie within a component, so components are those of all links.
+
+Ids of candidates are broadcast up to `broadcast_ids` (8 bytes each for whole numbers), and joined by a shuffle beyond.
 
 Cases: null, empty and blank texts have empty sets, linked with nothing; repeated rows are
 equal sets, their component is their least id; ids must be comparable; rows with null ids take part
@@ -73,6 +77,11 @@ class Hasher:
         parity = (np.bincount(place.ravel(), minlength=len(minima) * SKETCH_BITS) & 1).astype(np.uint8)
         return np.packbits(parity.reshape(len(minima), SKETCH_BITS), axis=1, bitorder="little").view("<i8")
 
+    def set_sketch(self, shingles: np.ndarray) -> np.ndarray:
+        """SKETCH_BITS parities of a set as LANES 64-bit lanes."""
+        parity = np.bincount((shingles & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+        return np.packbits(parity.astype(np.uint8), bitorder="little").view("<i8")
+
     def most_bits(self, percent: int) -> int:
         """The population count that a pair at the threshold exceeds by chance of five standard deviations."""
         away = 1 - percent / 100
@@ -107,16 +116,18 @@ def signatures(docs: DataFrame, k: int, hasher: Hasher, slice_bytes: int) -> Dat
         for batch in wordscan.slices(batches, "text", slice_bytes):
             n = batch.num_rows
             sizes, hashes, minima = np.zeros(n, np.int64), np.zeros((2, n), np.uint64), np.zeros((n, hasher.n), np.uint32)
+            parity = np.zeros((n, LANES), np.int64)
             for d, own in enumerate(shingle_sets(*wordscan.utf8(batch.column("text")), k)):
                 if len(own):
                     sizes[d] = len(own)
                     hashes[0, d] = own.sum(dtype=np.uint64)
                     hashes[1, d] = wordscan.mix(own ^ np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64)
                     minima[d] = hasher.minima(own)
+                    parity[d] = hasher.set_sketch(own)
             hashes = wordscan.mix(hashes + sizes.astype(np.uint64)).view(np.int64)
             lists = lambda x, width: pa.ListArray.from_arrays(pa.array(np.arange(0, n * width + 1, width), pa.int32()), pa.array(x.ravel().view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(sizes), pa.array(hashes[0]), pa.array(hashes[1]), lists(hasher.bands_of(minima), hasher.bands), lists(hasher.odd_sketches(minima), LANES)],
+                [batch.column("id"), pa.array(sizes), pa.array(hashes[0]), pa.array(hashes[1]), lists(hasher.bands_of(minima), hasher.bands), lists(np.hstack((hasher.odd_sketches(minima), parity)), 2 * LANES)],
                 names=["id", "n_shingles", "set_a", "set_b", "bands", "odd"],
             )
 
@@ -124,14 +135,22 @@ def signatures(docs: DataFrame, k: int, hasher: Hasher, slice_bytes: int) -> Dat
     return docs.mapInArrow(sign, f"id {kind}, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>, odd array<bigint>")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int, slice_bytes: int) -> DataFrame:
-    """Those of the pairs (lo, hi) of ids that are linked, from their full sets."""
+def full_sets(docs: DataFrame, wanted: DataFrame, k: int, slice_bytes: int, broadcast_ids: int) -> DataFrame:
+    """(id, items) of the wanted ids: the sorted hashes of their sets."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in wordscan.slices(batches, "text", slice_bytes):
             found = [x.tobytes() for x in shingle_sets(*wordscan.utf8(batch.column("text")), k)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.binary())], names=["id", "items"])
 
+    near = F.broadcast(wanted) if wanted.count() <= broadcast_ids else wanted
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.join(near, "id", "left_semi").mapInArrow(sets, f"id {kind}, items binary")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, broadcast_ids: int) -> DataFrame:
+    """Those of the pairs (lo, hi) of ids that are linked, from their full sets."""
+
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -143,15 +162,12 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int, slice_byt
                 keep.append(100 * shared >= percent * (len(both) - shared))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["lo", "hi"])
 
-    kind = docs.schema["id"].dataType.simpleString()
+    kind = sets.schema["id"].dataType.simpleString()
     wanted = pairs.select(F.col("lo").alias("id")).union(pairs.select(F.col("hi").alias("id"))).distinct()
-    full = docs.join(wanted, "id", "left_semi").mapInArrow(sets, f"id {kind}, items binary").dropDuplicates(["id"])
-    full = materialize(full, "sets")
-    left = pairs.join(full.select(F.col("id").alias("lo"), F.col("items").alias("a")), "lo")
-    rows = left.join(full.select(F.col("id").alias("hi"), F.col("items").alias("b")), "hi").select("lo", "hi", "a", "b")
-    out = materialize(rows.mapInArrow(test, f"lo {kind}, hi {kind}"), "linked")
-    discard(full)
-    return out
+    needed = sets.join(F.broadcast(wanted) if pairs.count() <= broadcast_ids else wanted, "id", "left_semi")
+    left = pairs.join(needed.select(F.col("id").alias("lo"), F.col("items").alias("a")), "lo")
+    rows = left.join(needed.select(F.col("id").alias("hi"), F.col("items").alias("b")), "hi").select("lo", "hi", "a", "b")
+    return rows.mapInArrow(test, f"lo {kind}, hi {kind}")
 
 
 def near_duplicates(
@@ -164,6 +180,7 @@ def near_duplicates(
     bands: int = 24,
     rows: int = 6,
     slice_bytes: int = 2 << 20,
+    broadcast_ids: int = 2_000_000,
 ) -> DataFrame:
     """One row for each document: id, n_shingles, class_id (least id with an equal set),
     component_id (least id reachable by links, its own included)."""
@@ -177,40 +194,48 @@ def near_duplicates(
     heads = some.join(named.where("id = class_id").select("id"), "id", "left_semi").dropDuplicates(["id"])
     heads = materialize(heads.select(F.col("id").alias("c"), "n_shingles", "odd", "bands"), "heads")
     release(spark)
-    bucket = heads.select("c", "n_shingles", F.posexplode("bands").alias("band", "value"))
-    crowded = bucket.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1").select("band", "value")
+    bucket = heads.select("c", "n_shingles", "odd", F.posexplode("bands").alias("band", "value"))
+    crowded = bucket.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
     members = materialize(bucket.join(crowded, ["band", "value"]), "members")
+    # a class in many and large buckets is near the middle of its group
+    central = members.groupBy("c").agg(F.sum("n").alias("central"))
+    members = materialize(members.join(central, "c"), "members")
+    sets = materialize(full_sets(texts, members.select(F.col("c").alias("id")).distinct(), k, slice_bytes, broadcast_ids).dropDuplicates(["id"]), "sets")
     release(spark)
     links: DataFrame | None = None
     parts: DataFrame | None = None
-    hubs, number = 1, 0
+    number = 0
     while True:
         at = members.withColumn("part", F.col("c")) if parts is None else members.join(parts, "c", "left").withColumn("part", F.coalesce("component", "c")).drop("component")
-        at = at.withColumn("luck", F.xxhash64("c", F.lit(number)))
-        open_ = at.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high"), F.min(F.struct("luck", "c")).alias("first"))
-        open_ = open_.where("low < high").select("band", "value", "n", "first")
-        at = at.join(open_, ["band", "value"])
-        # a hub: the member of the least luck, and with a chance of hubs / n any other
-        is_hub = (F.col("c") == F.col("first.c")) | (F.pmod("luck", F.lit(1 << 20)) < F.lit(float((hubs - 1) * (1 << 20))) / F.col("n"))
-        at = materialize(at.select("band", "value", "c", "n_shingles", "part", is_hub.alias("hub")), "open")
-        discard(members)
+        at = at.withColumn("luck", F.pmod(F.xxhash64("c", F.lit(number)), F.lit(1 << 20)) / float(1 << 20))
+        top = F.max(F.struct("central", "luck", "c", "part"))
+        open_ = at.groupBy("band", "value").agg(F.count("*").alias("many"), F.min("part").alias("low"), F.max("part").alias("high"), top.alias("top"))
+        open_ = open_.where("low < high").select("band", "value", "many", F.col("top.c").alias("top"), F.col("top.part").alias("top_part"))
+        # hubs: the most central member, in later rounds some of its component, at last members of the other components
+        inner, outer = ((0, 0), (4, 0), (16, 0), (64, 0), (0, 0.125))[number] if number < 5 else (0, 1)
+        own = F.col("part") == F.col("top_part")
+        is_hub = (F.col("c") == F.col("top")) | (own & (F.col("luck") < F.lit(float(inner)) / F.col("many"))) | (~own & (F.col("luck") < float(outer)))
+        at = materialize(at.join(open_, ["band", "value"]).withColumn("hub", is_hub).drop("top", "top_part", "many", "luck"), "open")
         if at.limit(1).count() == 0:
             discard(at)
             break
-        hub = at.where("hub").select("band", "value", F.col("c").alias("h"), F.col("part").alias("h_part"), F.col("n_shingles").alias("h_n"))
-        pairs = at.join(hub, ["band", "value"]).where((F.col("part") != F.col("h_part")) & (100 * F.least("n_shingles", "h_n") >= percent * F.greatest("n_shingles", "h_n")))
-        pairs = pairs.select(F.least("c", "h").alias("lo"), F.greatest("c", "h").alias("hi")).distinct()
-        sketch = heads.select("c", "odd")
-        pairs = pairs.join(sketch.select(F.col("c").alias("lo"), F.col("odd").alias("x")), "lo").join(sketch.select(F.col("c").alias("hi"), F.col("odd").alias("y")), "hi")
-        apart = sum((F.bit_count(F.col("x")[j].bitwiseXOR(F.col("y")[j])) for j in range(LANES)), F.lit(0))
-        pairs = materialize(pairs.where(apart <= hasher.most_bits(percent)).select("lo", "hi"), "pairs")
-        found = confirmed(pairs, texts, k, percent, slice_bytes)
-        links = found if links is None else materialize(links.unionByName(found), "links")
+        hub = at.where("hub").select("band", "value", F.col("c").alias("h"), F.col("part").alias("h_part"), F.col("n_shingles").alias("h_n"), F.col("odd").alias("h_odd"))
+        apart = [sum((F.bit_count(F.col("odd")[j].bitwiseXOR(F.col("h_odd")[j])) for j in range(a, a + LANES)), F.lit(0)) for a in (0, LANES)]
+        alike = (100 * F.least("n_shingles", "h_n") >= percent * F.greatest("n_shingles", "h_n")) & (apart[0] <= hasher.most_bits(percent))
+        alike = alike & ((100 + percent) * apart[1] <= (100 - percent) * (F.col("n_shingles") + F.col("h_n")))
+        pairs = at.join(hub, ["band", "value"]).where((F.col("part") != F.col("h_part")) & alike)
+        pairs = materialize(pairs.select(F.least("c", "h").alias("lo"), F.greatest("c", "h").alias("hi")).distinct(), "pairs")
+        found = confirmed(pairs, sets, percent, broadcast_ids)
+        found = materialize(found if links is None else links.unionByName(found), "links")
+        discard(links)
+        links = found
         parts = connected_components(links, "lo", "hi").select(F.col("node").alias("c"), "component")
-        members = materialize(at.where("not hub").select("band", "value", "c", "n_shingles"), "members")
-        discard(at, pairs)
+        following = materialize(at.where("not hub").drop("hub", "part"), "members")
+        discard(at, pairs, members)
+        members = following
         release(spark)
-        hubs, number = hubs * 4, number + 1
+        number += 1
+    discard(sets, members, heads)
     out = signed.select("id", "n_shingles").join(named, "id", "left")
     if parts is not None:
         out = out.join(parts.withColumnRenamed("c", "class_id"), "class_id", "left")
