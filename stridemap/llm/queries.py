@@ -9,6 +9,7 @@ from stridemap.llm.decontaminate import find_contamination
 from stridemap.llm import line_dedup
 from stridemap.llm.mixing import mix
 from stridemap.llm.near_dedup import near_duplicates
+from stridemap.llm.oracles import ORACLES as ORACLES
 from stridemap.llm.quality_classifier import classify
 from stridemap.llm.quality_rules import quality
 from stridemap.llm.substring_dedup import repeated_spans
@@ -91,7 +92,3 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_toxicity": op10_toxicity,
 }
-
-ORACLES: dict[str, str] = {
-    "op1_line_dedup": line_dedup.ORACLE,
-}
