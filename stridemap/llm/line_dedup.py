@@ -8,14 +8,16 @@ variable fields, generalised to the wildcard. What remains is the line's templat
 says enough: no field is variable, or at least `least_constant` tokens and `constant_percent` percent of all are
 constant. Lines of recurring templates are dropped, wherever they are.
 
-Lines become two 64-bit hashes, of leaf and tokens, and are counted by them; only lines of leaves that could hold
-a template with fields are taken apart, once for each distinct line, so a line that is in every document is
-one row from there on. Both small sides (those leaves, and the dropped lines) are broadcast
-up to `broadcast_rows` rows, which are 16 bytes each, and joined by a shuffle beyond.
+Lines become 64-bit hashes, of leaf, tokens and raw line, in a written table, and are counted by them; only lines of leaves
+that could hold a template with fields are fetched again and taken apart, once for each distinct line, so a
+line that is in every document is one row from there on. Both small sides (where to fetch, and the
+dropped lines) are broadcast up to a quarter of and up to `broadcast_rows` rows, and joined by a shuffle beyond. Within a
+document, the work is its lines times its different dropped lines.
 
 Cases: null and empty texts have one empty line; lines without tokens are kept and count for nothing; repeated rows (same id)
 are one document; documents without an id count as lines of no document, and lose recurring lines as others do; an
-empty table gives no rows. Other columns are passed through where texts are returned.
+empty table gives no rows. Other columns are passed through where texts are returned; columns named n_lines
+or n_dropped are replaced.
 """
 
 from __future__ import annotations
@@ -40,22 +42,34 @@ def _near(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def recurring_lines(docs: DataFrame, id_col: str, text_col: str, leading: int, least: int, least_constant: int, constant_percent: int, broadcast_rows: int) -> DataFrame:
-    """(key) of the lines to drop: hashes of their tokens."""
+def document_lines(docs: DataFrame, id_col: str, text_col: str, leading: int) -> DataFrame:
+    """(id, mark, raw, leaf, n_tokens, key) for the different lines with tokens of each row: hashes of the row's text, the
+    line, its leaf and its tokens."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    lines = docs.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(F.split(text, "\n"))).alias("line"))
-    lines = lines.select("id", line_tokens(F.col("line")).alias("tokens")).where(F.size("tokens") > 0)
-    # a bounded pair of hashes stands for the line
-    leaf = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, leading))
-    lines = lines.select("id", "tokens", leaf.alias("leaf"), F.size("tokens").alias("n_tokens"))
+    lines = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), F.explode(F.array_distinct(F.split(text, "\n"))).alias("line"))
+    lines = lines.select("id", "mark", F.xxhash64("line").alias("raw"), line_tokens(F.col("line")).alias("tokens")).where(F.size("tokens") > 0)
+    return lines.select("id", "mark", "raw", leaf_of(F.col("tokens"), leading).alias("leaf"), F.size("tokens").alias("n_tokens"), F.xxhash64("tokens").alias("key"))
+
+
+def leaf_of(tokens: Column, leading: int) -> Column:
+    return F.xxhash64(F.size(tokens), F.slice(tokens, 1, leading))
+
+
+def recurring_lines(lines: DataFrame, docs: DataFrame, text_col: str, leading: int, least: int, least_constant: int, constant_percent: int, broadcast_rows: int) -> DataFrame:
+    """(key) of the lines to drop: hashes of their tokens. lines: what document_lines() gives for docs."""
     counts = [F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")]
-    whole = lines.groupBy("leaf", "n_tokens", F.xxhash64("tokens").alias("key")).agg(*counts)
-    whole = materialize(whole, "lines")
+    whole = materialize(lines.groupBy("leaf", "n_tokens", "key").agg(*counts, F.min_by("mark", "raw").alias("mark"), F.min("raw").alias("raw")), "whole")
     exact = whole.where((F.col("n") >= least) & (F.col("lo") < F.col("hi"))).select("key")
     leaves = whole.where(F.col("n_tokens") >= least_constant).groupBy("leaf").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    leaves = materialize(leaves.where((F.col("n") >= least) & (F.col("kinds") > 1) & (F.col("lo") < F.col("hi"))).select("leaf"), "leaves")
-    apart = lines.where(F.col("n_tokens") >= least_constant).join(_near(leaves, broadcast_rows), "leaf")
-    apart = materialize(apart.groupBy("leaf", "tokens").agg(*counts).withColumn("key", F.xxhash64("tokens")), "apart")
+    leaves = leaves.where((F.col("n") >= least) & (F.col("kinds") > 1) & (F.col("lo") < F.col("hi"))).select("leaf")
+    some = materialize(whole.where(F.col("n_tokens") >= least_constant).join(leaves, "leaf", "left_semi"), "some")
+    # the tokens of those lines, each fetched from one text that has it
+    wanted = materialize(some.groupBy("mark").agg(F.collect_set("raw").alias("raws")), "wanted")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    texts = docs.select(text.alias("text"), F.xxhash64(text).alias("mark")).join(_near(wanted, broadcast_rows // 4), "mark")
+    found = texts.select("raws", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).where(F.array_contains("raws", F.xxhash64("line")))
+    found = found.select(line_tokens(F.col("line")).alias("tokens")).select("tokens", leaf_of(F.col("tokens"), leading).alias("leaf"), F.xxhash64("tokens").alias("key"))
+    apart = materialize(found.groupBy("leaf", "key", "tokens").agg(F.lit(1).alias("one")).drop("one").join(some.select("leaf", "key", "n", "lo", "hi"), ["leaf", "key"]), "apart")
     fields = apart.select("leaf", "key", "n", F.posexplode("tokens").alias("place", "token"))
     constant = fields.groupBy("leaf", "place", "token").agg(F.sum("n").alias("of")).where(F.col("of") >= least).select("leaf", "place", "token")
     mark = F.xxhash64("place", "token")
@@ -67,7 +81,7 @@ def recurring_lines(docs: DataFrame, id_col: str, text_col: str, leading: int, l
     templates = templates.where((F.col("n") >= least) & (F.col("lo") < F.col("hi"))).select("leaf", "shape", "n_constant")
     loose = shaped.join(templates, ["leaf", "shape", "n_constant"]).select("key")
     out = materialize(exact.unionByName(loose).distinct(), "dropped")
-    discard(whole, leaves, apart, shaped)
+    discard(whole, some, wanted, apart, shaped)
     return out
 
 
@@ -84,20 +98,21 @@ def drop_recurring_lines(
 ) -> DataFrame:
     """The documents with the recurring lines taken out of text_col (all other columns as they are),
     and n_lines and n_dropped."""
-    dropped = recurring_lines(docs, id_col, text_col, leading, least, least_constant, constant_percent, broadcast_rows)
+    lines = materialize(document_lines(docs, id_col, text_col, leading), "lines")
+    dropped = recurring_lines(lines, docs, text_col, leading, least, least_constant, constant_percent, broadcast_rows)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    # rows of one id and text are alike, so this pair is a key
-    places = docs.select(F.col(id_col).alias("d_id"), F.xxhash64(text).alias("d_text"), F.posexplode(F.split(text, "\n")).alias("place", "line"))
-    places = places.withColumn("key", F.xxhash64(line_tokens(F.col("line")))).join(_near(dropped, broadcast_rows), "key", "left_semi")
-    places = places.groupBy("d_id", "d_text").agg(F.collect_set("place").alias("d_places"))
-    sized = docs.withColumn("d_mark", F.xxhash64(text))
-    joined = sized.join(places, sized[id_col].eqNullSafe(places["d_id"]) & (sized["d_mark"] == places["d_text"]), "left")
+    # rows of one id and text are alike, so this pair is a key; the names here can't be those of documents' columns
+    gone = lines.join(_near(dropped, broadcast_rows), "key", "left_semi").groupBy(F.col("id").alias("__id"), F.col("mark").alias("__text")).agg(F.collect_set("raw").alias("__gone"))
+    kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    sized = docs.select(*(F.col(f"`{c}`") for c in kept_columns), F.xxhash64(text).alias("__mark"))
+    joined = sized.join(gone, sized[id_col].eqNullSafe(gone["__id"]) & (sized["__mark"] == gone["__text"]), "left")
     parts = F.split(text, "\n")
-    kept = F.array_join(F.filter(parts, lambda _, k: ~F.array_contains("d_places", k)), "\n")
+    rest = F.filter(parts, lambda line: ~F.array_contains("__gone", F.xxhash64(line)))
+    joined = joined.withColumn("__rest", F.when(F.col("__gone").isNotNull(), rest))
     return joined.select(
-        *(F.when(F.col("d_places").isNull(), docs[c]).otherwise(kept).alias(c) if c == text_col else docs[c] for c in docs.columns),
+        *(F.when(F.col("__rest").isNull(), F.col(c)).otherwise(F.array_join("__rest", "\n")).alias(c) if c == text_col else F.col(f"`{c}`") for c in kept_columns),
         F.size(parts).cast("bigint").alias("n_lines"),
-        F.coalesce(F.size("d_places"), F.lit(0)).cast("bigint").alias("n_dropped"),
+        F.when(F.col("__rest").isNull(), 0).otherwise(F.size(parts) - F.size("__rest")).cast("bigint").alias("n_dropped"),
     )
 
 
