@@ -118,8 +118,8 @@ def mix(
 
 def mixed_documents(docs: DataFrame, mixed: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The documents, each as often as its copies say (none for 0), with their own columns."""
-    amounts = mixed.select(F.col(id_col).alias("m_id"), F.col(source_col).alias("m_source"), F.col("size").alias("m_size"), "copies").distinct()
-    sized = docs.withColumn("m_words", word_count(F.col(text_col).cast("string")))
-    same = sized[id_col].eqNullSafe(amounts["m_id"]) & sized[source_col].cast("string").eqNullSafe(amounts["m_source"]) & (sized["m_words"] == amounts["m_size"])
-    joined = sized.join(amounts, same).where("copies > 0")
-    return joined.select(*(docs[c] for c in docs.columns), F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("m_turn")).drop("m_turn")
+    amounts = mixed.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), F.col("size").alias("__size"), F.col("copies").alias("__copies")).distinct()
+    sized = docs.withColumn("__words", word_count(F.col(text_col).cast("string")))
+    same = sized[id_col].eqNullSafe(amounts["__id"]) & sized[source_col].cast("string").eqNullSafe(amounts["__source"]) & (sized["__words"] == amounts["__size"])
+    joined = sized.join(amounts, same).where("__copies > 0")
+    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int"))).alias("__turn")).drop("__turn")
