@@ -257,12 +257,13 @@ def find_contamination(
     item_col: str = "item_id",
     item_text_col: str = "text",
     window: int = 10,
-    shard_bytes: int = 3 << 20,
+    shard_bytes: int = 4 << 20,
     block_bytes: int = 4 << 20,
 ) -> DataFrame:
     """One row for each document: id, n_words, n_hit, items (sorted strings) and spans, the merged
     removal spans as [start, end) in bytes of the UTF-8 text."""
     spark = docs.sparkSession
+    wordscan.bound_batches(spark)
     blocks = [spark.sparkContext.broadcast(b) for b in phrase_blocks(benchmark, item_col, item_text_col, window, block_bytes)]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 

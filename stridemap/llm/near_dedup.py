@@ -186,6 +186,7 @@ def near_duplicates(
     component_id (least id reachable by links, its own included)."""
     hasher = Hasher(bands, rows)
     spark = docs.sparkSession
+    wordscan.bound_batches(spark)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = materialize(signatures(texts, k, hasher, slice_bytes), "signatures")
     some = signed.where("n_shingles > 0 and id is not null")

@@ -4,7 +4,7 @@ A logistic classifier on the statistics of a document gives its own evidence, th
 Sites form levels: all documents, hosts, paths within hosts. Every group has a posterior share of good documents: labelled training
 rows count by label, all others by the classifier's probability, so statistics cover all documents. Shares are beta posteriors whose prior is
 the parent's share with the weight m of pseudo-documents; m comes from the spread of shares between the groups of a
-level by the method of moments, so sparse sites shrink to their parent, and at last to the global prior. A document's score is the posterior from
+level by the method of moments (and is LEAST_WEIGHT or more), so sparse sites shrink to their parent, and at last to the global prior. A document's score is the posterior from
 its own evidence and its path's share.
 
 All of that is grouped aggregation with partial sums; only the classifier is fitted on a sample, at most
@@ -26,6 +26,10 @@ from stridemap.llm.toxicity import logistic
 from stridemap.session import materialize
 
 
+#: However unlike groups are, a parent's share weighs as much as this number of documents.
+LEAST_WEIGHT = 5
+
+
 def features() -> list[Column]:
     """Statistics of a row as bounded numbers."""
     words = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
@@ -74,7 +78,7 @@ def pseudo_documents(n_groups: int, n_rows: int, between: float | None, binomial
     if not n_groups or not binomial or n_rows <= n_groups:
         return 100.0
     chance = n_groups / n_rows
-    excess = min(max((between / binomial - chance) / (1 - chance), 1e-4), 0.99)
+    excess = min(max((between / binomial - chance) / (1 - chance), 1e-4), 1 / (1 + LEAST_WEIGHT))
     return (1 - excess) / excess
 
 

@@ -106,8 +106,9 @@ def text_statistics(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarr
     }
 
 
-def base_statistics(docs: DataFrame, id_col: str, text_col: str, keys: list[str], slice_bytes: int = 4 << 20) -> DataFrame:
+def base_statistics(docs: DataFrame, id_col: str, text_col: str, keys: list[str], slice_bytes: int = 2 << 20) -> DataFrame:
     """Rows (id, the key columns as text, STATS)."""
+    wordscan.bound_batches(docs.sparkSession)
     names = [f"k{j}" for j in range(len(keys))]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).cast("string").alias(n) for c, n in zip(keys, names, strict=True)))
 

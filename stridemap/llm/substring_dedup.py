@@ -190,7 +190,7 @@ def pack_chunks(rows: DataFrame, chunk_bytes: int) -> DataFrame:
             part += 1
             return out
 
-        for batch in wordscan.slices(batches, "text", chunk_bytes):
+        for batch in wordscan.slices(batches, "text", chunk_bytes // 8):
             n = wordscan.utf8(batch.column("text"))[1][-1]
             if held and size + n > chunk_bytes:
                 yield flush()
@@ -209,16 +209,16 @@ def repeated_spans(
     id_col: str = "doc_id",
     text_col: str = "text",
     length: int = 200,
-    chunk_bytes: int = 4 << 20,
+    chunk_bytes: int = 3 << 20,
     bucket_bytes: int = 8 << 20,
     with_kept: bool = False,
 ) -> DataFrame:
     """One row for each document: id, n_bytes, n_removed, spans (removed [start, end) in bytes),
     kept_sha256, and the kept bytes if asked for."""
     spark = docs.sparkSession
+    wordscan.bound_batches(spark)
     cover = Cover(length)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    # the kept bytes go with the document; then its text is read along
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
     long = rows.where(F.octet_length("text") >= length).select(F.sha2("text", 256).alias("key"), "text")
     distinct = long.groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("copies"))

@@ -219,6 +219,7 @@ def write_shards(
     """Write the shards; returns the manifest (part, seq, path, n_docs, n_tokens, first_token),
     where first_token counts the ids of all shards before."""
     spark = docs.sparkSession
+    wordscan.bound_batches(spark)
     folder = folder or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +12,16 @@ import pyarrow as pa
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 
+def bound_batches(spark, size: int = 4 << 20) -> None:
+    """Let Arrow batches of this session hold at most size bytes: they carry whole texts, and both the JVM's and the
+    worker's copies of a batch lie outside the heap. A smaller setting is left alone."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(-?\d+)\s*(b|k|m|g)?b?", str(spark.conf.get(key)).strip().lower())
+    scale = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    if not now or not 0 < int(now[1]) * scale[now[2] or "b"] <= size:
+        spark.conf.set(key, str(size))
+
+
 def _lower(table: np.ndarray) -> np.ndarray:
     table[ord("A") : ord("Z") + 1] = np.arange(ord("a"), ord("z") + 1)
     return table
