@@ -79,10 +79,12 @@ def _gather(group: pa.Table, name: str, kind: str) -> np.ndarray:
     return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in group.column(name)])
 
 
-def likelihood_ratios(rows: DataFrame, evidence: float, least_pairs: int, slice_bytes: int) -> DataFrame:
+def likelihood_ratios(rows: DataFrame, evidence: float, least_pairs: int, slice_bytes: int, bucket_bytes: int) -> DataFrame:
     """(is_pair, key, ratio) of the expressions with evidence, from labelled rows (text, toxic)."""
     spark = rows.sparkSession
-    bits = max(1, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    # about two bytes of triples for each byte of text, and buckets of at most about bucket_bytes
+    bits = max(4, (2 * total // bucket_bytes).bit_length())
 
     def distinct(pairs: np.ndarray, ahead: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct triples in order; seen has bit 0 for the toxic and bit 1 for the ordinary class."""
@@ -252,13 +254,15 @@ def toxicity(
     calibration_rows: int = 20_000,
     block_rows: int = 500_000,
     broadcast_labels: int = 1_000_000,
-    slice_bytes: int = 4 << 20,
+    slice_bytes: int = 2 << 20,
+    bucket_bytes: int = 16 << 20,
 ) -> DataFrame:
     """One row for each document: id, held_out, mean_ratio, span_ratio, score, predicted.
 
     Labels of rows with crc32(id as text) mod folds = held_out are never read; the next fold's
     serve for the logistic curve, the others' for the counts.
     """
+    wordscan.bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     fold = F.pmod(F.crc32(F.col("id").cast("string")), F.lit(folds))
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where("toxic in (0, 1) and id is not null").withColumn("fold", fold)
@@ -266,7 +270,7 @@ def toxicity(
     small = known.count() <= broadcast_labels
     near = F.broadcast(known) if small else known
     tune = (held_out + 1) % folds
-    model = likelihood_ratios(rows.join(near.where(F.col("fold") != tune), "id").select("text", "toxic"), evidence, least_pairs, slice_bytes)
+    model = likelihood_ratios(rows.join(near.where(F.col("fold") != tune), "id").select("text", "toxic"), evidence, least_pairs, slice_bytes, bucket_bytes)
     ratios = materialize(text_ratios(rows, model, span, block_rows, slice_bytes), "scored")
     release(docs.sparkSession)
     tuned = ratios.join(near.where(F.col("fold") == tune), "id").select("id", "mean_ratio", "span_ratio", "toxic").distinct()
