@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stridemap.session import discard, materialize
+from stridemap.session import discard, materialize, materialize_counted
 
 
 def _union_find(pairs) -> dict:
@@ -56,8 +56,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         offers = jumped.join(around, "u")
         hooks = offers.select("u", F.least("g", "seen").alias("q")).unionByName(offers.select(F.col("p").alias("u"), F.col("seen").alias("q")))
         merged = hooks.groupBy("u").agg(F.min("q").alias("q"))
-        following = materialize(state.join(merged, "u").select("u", F.least("p", "q").alias("p"), (F.col("q") < F.col("p")).alias("moved")), "parents")
-        moved = following.where("moved").limit(1).count()
+        following, moved = materialize_counted(state.join(merged, "u").select("u", F.least("p", "q").alias("p"), (F.col("q") < F.col("p")).alias("moved")), "moved", "parents")
         discard(state)
         state = following
         if not moved:
@@ -128,10 +127,10 @@ def _spread_least(edges: DataFrame, labels: DataFrame, max_rounds: int) -> DataF
         offers = labels.where("fresh").join(edges, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min("color").alias("offer"))
         both = labels.join(offers, "node", "left")
         better = F.coalesce(F.col("offer") < F.col("color"), F.lit(False))
-        following = materialize(both.select("node", F.when(better, F.col("offer")).otherwise(F.col("color")).alias("color"), better.alias("fresh")), "colors")
+        following, n = materialize_counted(both.select("node", F.when(better, F.col("offer")).otherwise(F.col("color")).alias("color"), better.alias("fresh")), "fresh", "colors")
         discard(labels)
         labels = following
-        if labels.where("fresh").limit(1).count() == 0:
+        if n == 0:
             return labels.select("node", "color")
     raise RuntimeError(f"no fixpoint in {max_rounds} rounds")
 

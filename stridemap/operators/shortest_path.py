@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stridemap.session import discard, materialize
+from stridemap.session import discard, materialize, materialize_counted
 
 
 def least_edges(edges: DataFrame) -> DataFrame:
@@ -30,10 +30,10 @@ def shortest_paths(edges: DataFrame, searches: DataFrame, max_rounds: int = 100_
         offers = offers.join(limit, "search").where(F.col("offer") <= F.col("budget")).groupBy("search", "node").agg(F.min("offer").alias("offer"))
         both = best.join(offers, ["search", "node"], "full")
         better = F.coalesce(F.col("offer") < F.col("seconds"), F.col("seconds").isNull())
-        following = materialize(both.select("search", "node", F.when(better, F.col("offer")).otherwise(F.col("seconds")).alias("seconds"), better.alias("fresh")), "best")
+        following, n = materialize_counted(both.select("search", "node", F.when(better, F.col("offer")).otherwise(F.col("seconds")).alias("seconds"), better.alias("fresh")), "fresh", "best")
         discard(best)
         best = following
-        if best.where("fresh").limit(1).count() == 0:
+        if n == 0:
             break
     discard(graph)
     return best.select("search", "node", "seconds")
@@ -58,9 +58,10 @@ def routes_to(tree: DataFrame, targets: DataFrame, searches: DataFrame, max_step
     parts: DataFrame | None = None
     for step in range(max_steps):
         found = at.join(tree, (at["search"] == tree["search"]) & (at["node"] == tree["dst"])).select(at["search"], "dest", F.lit(step).alias("back"), "src", "dst", "seconds")
-        found = materialize(found, "steps")
-        if found.limit(1).count() == 0:
+        found, n = materialize_counted(found.withColumn("any", F.lit(True)), "any", "steps")
+        if n == 0:
             break
+        found = found.drop("any")
         parts = found if parts is None else parts.unionByName(found)
         at = found.select("search", "dest", F.col("src").alias("node"))
     if parts is None:

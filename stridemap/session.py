@@ -7,7 +7,8 @@ import tempfile
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(cpus: int = 8, app: str = "stridemap", **conf: str) -> SparkSession:
@@ -59,6 +60,13 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     return out
 
 
+def materialize_counted(df: DataFrame, flag: str, name: str = "t") -> tuple[DataFrame, int]:
+    """materialize(), and how many rows have the flag: counted while they are written, without a job of its own."""
+    seen = Observation()
+    out = materialize(df.observe(seen, F.count_if(flag).alias("n")), name)
+    return out, seen.get["n"]
+
+
 def discard(*frames: DataFrame | None) -> None:
     """Delete tables that materialize() wrote and that nothing reads any more."""
     for df in frames:
