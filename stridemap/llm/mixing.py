@@ -14,7 +14,7 @@ table of sources; the sizes in it are sums over all documents. They end when eve
 Copies. A document gets the whole part of its rate, and some get one more, so that a source's words come near
 its target. Documents lie in bins of a source by a hash of their id; whole bins get the extra
 copy until the next one would exceed what is missing, and within that one bin, whose size is about the square
-root of the source's, documents are taken in order of the hash while they fit, in four turns. A hot
+root of the source's, documents are taken while they fit: in order of the hash, then in three turns the largest that fit first. A hot
 source has more bins, so no task holds it. Reruns agree, whatever the partitions.
 
 Cases: null or empty text has size 0, and its document taken 0; a null source is a source of its own, the last;
@@ -105,8 +105,9 @@ def mix(
     sure = sure.select(*kept, (F.col("whole") + F.when(F.col("cut_bin").isNull() | (F.col("bin") < F.col("cut_bin")), 1).otherwise(0)).alias("copies"))
     last = placed.where(F.col("bin") == F.col("cut_bin")).withColumn("extra", F.lit(0))
     of_source = Window.partitionBy("source_key")
-    in_order = of_source.orderBy("luck", "id", "size")  # a range frame: equal rows are taken together
-    for _ in range(4):
+    # range frames: equal rows are taken together
+    by_luck, by_size = of_source.orderBy("luck", "id", "size"), of_source.orderBy(F.desc("size"), "luck", "id")
+    for in_order in (by_luck, by_size, by_size, by_size):
         fits = (F.col("extra") == 0) & (F.col("size") <= F.col("need"))
         last = last.withColumn("sum_", F.sum(F.when(fits, F.col("size"))).over(in_order))
         last = last.withColumn("now", (fits & (F.col("sum_") <= F.col("need"))).cast("int"))
