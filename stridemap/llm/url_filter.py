@@ -65,13 +65,17 @@ def masked_segments(path: Column, depth: int) -> Column:
 def template_tree(paths: DataFrame, depth: int, most_branches: int) -> DataFrame:
     """Rows (host, segments) with their template: wide nodes become wildcards from the top down."""
     tree = paths.select("host", "segments", F.col("segments").alias("template"))
-    for level in range(depth):
-        node = F.slice("template", 1, level) if level else F.array().cast("array<string>")
-        here = tree.where(F.size("template") > level).select("host", node.alias("node"), F.col("template")[level].alias("segment")).distinct()
+    deepest = paths.agg(F.max(F.size("segments")).alias("n")).first()["n"] or 0
+    for level in range(min(depth, deepest)):
+        start = F.slice("template", 1, level) if level else F.array().cast("array<string>")
+        here = tree.where(F.size("template") > level).select("host", start.alias("node"), F.col("template")[level].alias("segment")).distinct()
         wide = here.groupBy("host", "node").agg(F.count("*").alias("n")).where(F.col("n") > most_branches).select("host", "node", F.lit(True).alias("wide"))
-        opened = F.concat(F.slice("template", 1, level) if level else F.array().cast("array<string>"), F.array(F.lit(WILD)), F.slice("template", level + 2, depth + 1))
-        tree = tree.withColumn("node", node).join(wide, ["host", "node"], "left")
-        tree = tree.withColumn("template", F.when(F.col("wide") & (F.size("template") > level), opened).otherwise(F.col("template"))).drop("node", "wide")
+        wide = materialize(wide, "wide")
+        if wide.limit(1).count() == 0:
+            continue
+        opened = F.concat(start, F.array(F.lit(WILD)), F.slice("template", level + 2, depth + 1))
+        tree = tree.withColumn("node", start).join(wide, ["host", "node"], "left")
+        tree = materialize(tree.select("host", "segments", F.when(F.col("wide") & (F.size("template") > level), opened).otherwise(F.col("template")).alias("template")), "tree")
     return tree
 
 
