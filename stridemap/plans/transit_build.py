@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, Window
@@ -96,12 +97,14 @@ def pattern_name(stop_seq: Column) -> Column:
     return F.array_join(F.transform(stop_seq, lambda s: s.cast("string")), "-")
 
 
-def build(feed: Feed, date: str) -> Timetable:
-    stops = indexed_stops(feed)
+def build(feed: Feed, date: str, keep: Callable[[DataFrame, str], DataFrame] = lambda frame, name: frame) -> Timetable:
+    """keep, such as materialize(), is given the stops and the numbered trips: with it, the tables are made from those and the
+    feed is read once; without, each table is one lazy plan over the feed."""
+    stops = keep(indexed_stops(feed), "stops")
     trips = trip_sequences(active_visits(feed, date), stops, active_trips(feed, date), feed.routes)
     trips = trips.withColumn("pattern", F.xxhash64("stop_seq"))
     order = Window.partitionBy("pattern").orderBy(F.col("visits")[0]["dep"], F.length("trip_id"), "trip_id")
-    trips = trips.withColumn("trip", F.row_number().over(order) - 1)
+    trips = keep(trips.withColumn("trip", F.row_number().over(order) - 1), "trips")
     stop_times = trips.select("pattern", "trip", "trip_id", F.posexplode("visits").alias("pos", "v")).select("pattern", "trip", "pos", "v.stop", "v.arr", "v.dep", "trip_id")
     patterns = trips.groupBy("pattern", "stop_seq").agg(F.min_by("route_type", F.struct(F.length("trip_id"), "trip_id")).alias("mode"), F.count("*").alias("n_trips"))
     late = overtaking(stop_times).withColumn("overtakes", F.lit(True))

@@ -108,9 +108,9 @@ def _one(spark: SparkSession) -> DataFrame:
 @lru_cache(maxsize=4)
 def _snapshot(spark: SparkSession, sf_dir: str) -> tuple[tb.Timetable, raptor.Prepared]:
     """The built timetable, written: searches read the snapshot, as a service would, and don't rebuild it."""
-    built = _timetable(spark, sf_dir)
+    built = tb.build(transit_feed(spark, sf_dir), REFERENCE_DATE, materialize)
     patterns = materialize(built.patterns, "patterns")
-    table = tb.Timetable(materialize(built.stops, "stops"), patterns, patterns.select("pattern", F.posexplode("stop_seq").alias("pos", "stop")), materialize(built.stop_times, "stop-times"), materialize(built.transfers, "transfers"))
+    table = tb.Timetable(built.stops, patterns, patterns.select("pattern", F.posexplode("stop_seq").alias("pos", "stop")), materialize(built.stop_times, "stop-times"), materialize(built.transfers, "transfers"))
     return table, raptor.Prepared(table)
 
 
