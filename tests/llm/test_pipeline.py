@@ -30,6 +30,14 @@ def test_near_duplicates_leave_one_row_of_each_group(spark):
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got.collect()) == [(False, 2), (False, 4), (True, 0), (True, 0)]
 
 
+def test_copies_with_an_added_block_go(spark):
+    base = [f"w{k}" for k in range(500)]
+    longer, least, apart = ([*base, *(f"{mark}{k}" for k in range(n))] for mark, n in (("x", 110), ("y", 124), ("z", 125)))  # five-word similarity 0.818, 0.8 and below
+    rows = [(1, base), (2, longer), (3, least), (4, apart)]
+    docs = spark.createDataFrame([(k, " ".join(words), "en", "s", 1) for k, words in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, SMALL).collect()) == [1, 4]
+
+
 def test_contaminated_documents_go(spark):
     item = spark.read.parquet(f"{SMALL}/benchmark.parquet").first()
     rows = [(1, "before " + item["text"] + " after"), (2, "clean text of its own"), (None, item["text"]), (None, "clean")]
