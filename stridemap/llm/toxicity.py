@@ -1,26 +1,26 @@
 """Toxicity from class-conditional Kneser-Ney models.
 
 Words are lower-cased (A-Z) runs of [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]. Labelled training documents give counts
-of words and word pairs for the toxic and the ordinary class. As in the lower orders of any
-Kneser-Ney model, these are continuation counts: n_c(h w) is the number of distinct words seen before
-the pair in class c, n_c(w) that of distinct words before w. So a passage that is copied a thousand times
-counts once. With discount D and h the word before w,
+of words and word pairs for the toxic and the ordinary class. n_c(h w) is the number of documents of class c with the
+pair, where documents of the same text count once; n_c(w) is, as in the lower order of any Kneser-Ney model, the number
+of distinct words before w. With discount D and h the word before w,
 
     P_c(w | h) = max(n_c(h w) - D, 0) / n_c(h) + D * N_c(h .) / n_c(h) * P_c(w)
     P_c(w)     = max(n_c(w) - D, 0) / n_c + D * V_c / n_c * S(w)
 
 where n_c(h) and n_c are sums, N_c(h .) and V_c count the words after h and all words, and S is the
-continuation share of w in both classes together. A rare expression, one whose counts don't tell the classes apart (log-likelihood
-ratio statistic below `evidence`), has the shared backoff estimate in both classes and says nothing. So
-the models that are kept are the expressions with evidence; they and all statistics come from all labelled training rows.
+continuation share of w in both classes together. No expression is dropped for being rare: its log ratio of the classes
+is interpolated with that of the lower order (a pair's word; for words 0) at the weight
+1 / (1 + exp((evidence - G) / 2)), where G is the log-likelihood ratio statistic of its counts against those of all pairs
+or words. Expressions that no counted document has get the word's ratio, and 0 for unknown words.
 
 A document has two length-normalised log-likelihood ratios: the mean over its words, and the highest mean
 over `span` consecutive words. A logistic curve, fitted to training rows that gave no counts (a bounded
-sample of `calibration_rows`), turns them into a score from 0 to 1.
+sample of `calibration_rows`) without weights below 0, turns them into a score from 0 to 1.
 
-Counts go as sorted arrays of triples of word hashes (two of 32 bits, the first of 16), dealt out by the hash of the first word, so that the many rare pairs are
-numbers and not rows. The kept expressions go to the executors in blocks of at most `block_rows`, one block at a time.
-Labels are broadcast if there are at most `broadcast_labels`, else joined by a shuffle.
+Counts go as sorted arrays of pairs of 32-bit word hashes, dealt out by the hash of the first word. All
+expressions go to the executors in blocks of at most `block_rows`, which the driver sees one at a time; the executors hold
+them all. Labels and the hashes of copied texts are broadcast if there are at most `broadcast_labels`, else joined by a shuffle.
 
 Cases: null and empty texts have the ratios 0 and the score of no evidence; null labels and labels of unknown documents
 are ignored; of several labels of a document the highest counts; repeated rows have equal scores; without labels of both classes no
@@ -43,19 +43,15 @@ DISCOUNT = 0.75
 START = np.uint64(1)  # stands before a document's first word
 
 
-def word_pairs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(for each word the hashes of the word before and its own as one number, 16 bits of the hash of
-    the word before those, first word of each text)."""
+def word_pairs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(for each word the hashes of the word before and its own as one number, first word of each text)."""
     mapped, starts, ends, first = wordscan.words(data, offsets, wordscan.alnum_table())
     word = wordscan.span_hash(wordscan.prefix_hash(mapped), starts, ends) >> np.uint64(32)
     before = np.empty_like(word)
     before[1:] = word[:-1]
     heads = first[:-1][first[:-1] < first[1:]]
     before[heads] = START
-    ahead = np.empty_like(word)
-    ahead[1:] = before[:-1]
-    ahead[heads] = START
-    return (before << np.uint64(32)) | word, ahead.astype(np.uint16), first
+    return (before << np.uint64(32)) | word, first
 
 
 def _sum_by(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -79,43 +75,46 @@ def _gather(group: pa.Table, name: str, kind: str) -> np.ndarray:
     return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in group.column(name)])
 
 
-def likelihood_ratios(rows: DataFrame, evidence: float, least_pairs: int, slice_bytes: int, bucket_bytes: int) -> DataFrame:
-    """(is_pair, key, ratio) of the expressions with evidence, from labelled rows (text, toxic)."""
+def distinct_texts(rows: DataFrame, broadcast_rows: int) -> DataFrame:
+    """Labelled rows (text, toxic), copies of a text once in each class. Only texts with copies are shuffled."""
+    marked = rows.select("text", "toxic", F.xxhash64("text").alias("mark"))
+    copied = materialize(marked.groupBy("mark", "toxic").agg(F.count("*").alias("n")).where("n > 1").select("mark", "toxic"), "copied")
+    near = F.broadcast(copied) if copied.count() <= broadcast_rows else copied
+    once = marked.join(near, ["mark", "toxic"], "left_anti")
+    return once.unionByName(marked.join(near, ["mark", "toxic"], "left_semi").dropDuplicates(["mark", "toxic"])).select("text", "toxic")
+
+
+def likelihood_ratios(rows: DataFrame, evidence: float, slice_bytes: int, bucket_bytes: int) -> DataFrame:
+    """(is_pair, key, ratio) of all expressions of labelled rows (text, toxic)."""
     spark = rows.sparkSession
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    # about two bytes of triples for each byte of text, and buckets of at most about bucket_bytes
+    # about two bytes of counts for each byte of text, and buckets of at most about bucket_bytes
     bits = max(4, (2 * total // bucket_bytes).bit_length())
 
-    def distinct(pairs: np.ndarray, ahead: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct triples in order; seen has bit 0 for the toxic and bit 1 for the ordinary class."""
-        order = np.lexsort((ahead, pairs))
-        pairs, ahead = pairs[order], ahead[order]
-        heads = np.flatnonzero(np.concatenate(([True], (pairs[1:] != pairs[:-1]) | (ahead[1:] != ahead[:-1])))) if len(pairs) else order
-        return pairs[heads], ahead[heads], np.bitwise_or.reduceat(seen[order], heads) if len(pairs) else seen
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in wordscan.slices(batches, "text", slice_bytes):
-            pairs, ahead, first = word_pairs(*wordscan.utf8(batch.column("text")))
-            toxic = np.repeat(batch.column("toxic").to_numpy(zero_copy_only=False), np.diff(first))
-            pairs, ahead, seen = distinct(pairs, ahead, np.where(toxic == 1, 1, 2).astype(np.uint8))
-            found = list(_deal(pairs, 64, bits, 0, [pairs.astype("<u8"), ahead.astype("<u2"), seen]))
-            if found:
-                c = list(zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c[1], pa.int32()), *(pa.array(x, pa.binary()) for x in c[2:])], names=["bucket", "pairs", "ahead", "seen"])
+            pairs, first = word_pairs(*wordscan.utf8(batch.column("text")))
+            if not len(pairs):
+                continue
+            text = np.repeat(np.arange(batch.num_rows), np.diff(first))
+            order = np.argsort(pairs, kind="stable")
+            pairs, text = pairs[order], text[order]
+            heads = np.flatnonzero(np.concatenate(([True], (pairs[1:] != pairs[:-1]) | (text[1:] != text[:-1]))))
+            toxic = batch.column("toxic").to_numpy(zero_copy_only=False)[text[heads]]
+            keys, bad, good = _sum_by(pairs[heads], (toxic == 1).astype("<u4"), (toxic != 1).astype("<u4"))
+            c = list(zip(*_deal(keys, 64, bits, 0, [keys.astype("<u8"), bad.astype("<u4"), good.astype("<u4")]), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(c[1], pa.int32()), *(pa.array(x, pa.binary()) for x in c[2:])], names=["bucket", "pairs", "bad", "good"])
 
     def settle_pairs(group: pa.Table) -> pa.Table:
-        triples, _, seen = distinct(_gather(group, "pairs", "<u8"), _gather(group, "ahead", "<u2"), _gather(group, "seen", "u1"))
-        keys, bad, good = _sum_by(triples, (seen & 1).astype(np.int64), (seen >> 1).astype(np.int64))
+        keys, bad, good = _sum_by(_gather(group, "pairs", "<u8"), *(_gather(group, x, "<u4").astype(np.int64) for x in ("bad", "good")))
         before, word = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
         in_bad, in_good = (bad > 0).astype(np.int64), (good > 0).astype(np.int64)
         h, h_bad, h_good, n_bad, n_good = _sum_by(before, bad, good, in_bad, in_good)
         w, w_bad, w_good, follows = _sum_by(word, in_bad, in_good, np.ones(len(keys), np.int64))
         out = list(_deal(w, 32, bits, 1, [x.astype("<i8") for x in (w, w_bad, w_good, follows)]))
-        often = np.flatnonzero(bad + good >= least_pairs)
-        at = np.searchsorted(h, before[often])
-        if len(often):
-            columns = (keys[often].view(np.int64), bad[often], good[often], h_bad[at], h_good[at], n_bad[at], n_good[at])
-            out.append((0, -1, *(x.astype("<i8").tobytes() for x in columns)))
+        at = np.searchsorted(h, before)
+        columns = (keys.view(np.int64), bad, good, h_bad[at], h_good[at], n_bad[at], n_good[at])
+        out.append((0, -1, *(x.astype("<i8").tobytes() for x in columns)))
         full = [(*r, *[b""] * (9 - len(r))) for r in out]
         c = list(zip(*full, strict=True))
         return pa.table([pa.array(c[0], pa.int32()), pa.array(c[1], pa.int32()), *(pa.array(x, pa.binary()) for x in c[2:])], names=["kind", "bucket", *"abcdefg"])
@@ -123,16 +122,17 @@ def likelihood_ratios(rows: DataFrame, evidence: float, least_pairs: int, slice_
     def settle_words(group: pa.Table) -> pa.Table:
         w, bad, good, follows = _sum_by(*(_gather(group, x, "<i8") for x in "abcd"))
         sums = [bad.sum(), good.sum(), (bad > 0).sum(), (good > 0).sum(), follows.sum()]
-        often = bad + good >= 3
-        columns = [np.concatenate(([s], x[often])) for s, x in zip([-1, sums[0], sums[1], sums[4], sums[2], sums[3]], [w, bad, good, follows, 0 * w, 0 * w], strict=True)]
+        columns = [np.concatenate(([s], x)) for s, x in zip([-1, sums[0], sums[1], sums[4], sums[2], sums[3]], [w, bad, good, follows, 0 * w, 0 * w], strict=True)]
         return pa.table([pa.array(x, pa.int64()) for x in columns], names=["w", "bad", "good", "follows", "v_bad", "v_good"])
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(batch.column(x)[k].as_buffer(), "<i8")) for x in "abcdefg"], names=["pair", "bad", "good", "h_bad", "h_good", "n_bad", "n_good"])
+                columns = [np.frombuffer(batch.column(x)[k].as_buffer(), "<i8") for x in "abcdefg"]
+                for a in range(0, len(columns[0]), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in columns], names=["pair", "bad", "good", "h_bad", "h_good", "n_bad", "n_good"])
 
-    blobs = rows.mapInArrow(count, "bucket int, pairs binary, ahead binary, seen binary")
+    blobs = rows.mapInArrow(count, "bucket int, pairs binary, bad binary, good binary")
     binary = ", ".join(f"{x} binary" for x in "abcdefg")
     settled = materialize(blobs.groupBy("bucket").applyInArrow(settle_pairs, f"kind int, bucket int, {binary}"), "pairs")
     release(spark)
@@ -150,19 +150,21 @@ def likelihood_ratios(rows: DataFrame, evidence: float, least_pairs: int, slice_
     shared = F.col("follows") / total["follows"]
     estimate = lambda n, all_n, v: F.greatest(F.col(n) - DISCOUNT, F.lit(0.0)) / all_n + DISCOUNT * v / all_n * shared
     words = words.where("w >= 0").select("w", "bad", "good", estimate("bad", total["bad"], total["v_bad"]).alias("p_bad"), estimate("good", total["good"], total["v_good"]).alias("p_good"))
-    words = words.withColumn("strong", strength(F.col("bad"), F.col("good"), F.lit(total["bad"]), F.lit(total["good"])) >= evidence)
-    single = words.where("strong").select(F.lit(False).alias("is_pair"), F.col("w").alias("key"), F.log(F.col("p_bad") / F.col("p_good")).alias("ratio"))
+    weight = lambda x: 1 / (1 + F.exp((F.lit(evidence) - x) / 2))
+    words = words.withColumn("own", F.log(F.col("p_bad") / F.col("p_good")) * weight(strength(F.col("bad"), F.col("good"), F.lit(total["bad"]), F.lit(total["good"]))))
+    single = words.select(F.lit(False).alias("is_pair"), F.col("w").alias("key"), F.col("own").alias("ratio"))
     pairs = settled.where("kind = 0").mapInArrow(unpack, "pair bigint, bad bigint, good bigint, h_bad bigint, h_good bigint, n_bad bigint, n_good bigint")
+    all_pairs = pairs.agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).first()
     pairs = pairs.withColumn("w", F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)))
-    both = pairs.join(words.select("w", F.col("bad").alias("w_bad"), F.col("good").alias("w_good"), "p_bad", "p_good"), "w")
-    both = both.where((F.col("w_bad") > 0) & (F.col("w_good") > 0))
-    both = both.where(strength(F.col("bad"), F.col("good"), F.col("w_bad"), F.col("w_good")) >= evidence)
+    both = pairs.join(words.select("w", "p_bad", "p_good", "own"), "w")
 
     def given(n, h, v, p):
         inside = F.greatest(F.col(n) - DISCOUNT, F.lit(0.0)) / F.col(h) + DISCOUNT * F.col(v) / F.col(h) * F.col(p)
         return F.when(F.col(h) > 0, inside).otherwise(F.col(p))
 
-    double = both.select(F.lit(True).alias("is_pair"), F.col("pair").alias("key"), F.log(given("bad", "h_bad", "n_bad", "p_bad") / given("good", "h_good", "n_good", "p_good")).alias("ratio"))
+    sure = weight(strength(F.col("bad"), F.col("good"), F.lit(float(all_pairs["bad"])), F.lit(float(all_pairs["good"]))))
+    of_pair = F.log(given("bad", "h_bad", "n_bad", "p_bad") / given("good", "h_good", "n_good", "p_good"))
+    double = both.select(F.lit(True).alias("is_pair"), F.col("pair").alias("key"), (sure * of_pair + (1 - sure) * F.col("own")).alias("ratio"))
     out = materialize(single.unionByName(double), "ratios")
     discard(settled)
     return out
@@ -171,19 +173,30 @@ def likelihood_ratios(rows: DataFrame, evidence: float, least_pairs: int, slice_
 def _blocks(model: DataFrame, block_rows: int) -> Iterator[tuple]:
     """Sorted arrays (word hashes, ratios, pairs, ratios) of at most block_rows expressions each."""
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("is_pair", "key", "ratio")]
+            for a in range(0, batch.num_rows, block_rows):
+                flags, keys, ratios = (x[a : a + block_rows] for x in columns)
+                own = [x[flags == flag].tobytes() for flag in (False, True) for x in (keys.astype("<i8"), ratios.astype("<f8"))]
+                yield pa.RecordBatch.from_arrays([pa.array([len(keys)], pa.int64()), *(pa.array([x], pa.binary()) for x in own)], names=["n", *"abcd"])
+
     def arrays(rows: list) -> tuple:
         out = []
-        for flag in (False, True):
-            own = sorted((r["key"] & 0xFFFFFFFFFFFFFFFF, r["ratio"]) for r in rows if r["is_pair"] == flag)
-            out += [np.array([x[0] for x in own], np.uint64), np.array([x[1] for x in own])]
+        for key, ratio in ("ab", "cd"):
+            keys = np.frombuffer(b"".join(r[key] for r in rows), np.uint64)
+            order = np.argsort(keys, kind="stable")
+            out += [keys[order], np.frombuffer(b"".join(r[ratio] for r in rows), "<f8")[order]]
         return tuple(out)
 
     rows: list = []
-    for row in model.toLocalIterator():
-        rows.append(row)
-        if len(rows) == block_rows:
+    n = 0
+    for row in model.mapInArrow(pack, "n bigint, a binary, b binary, c binary, d binary").toLocalIterator():
+        if rows and n + row["n"] > block_rows:
             yield arrays(rows)
-            rows = []
+            rows, n = [], 0
+        rows.append(row)
+        n += row["n"]
     if rows:
         yield arrays(rows)
 
@@ -201,7 +214,7 @@ def text_ratios(docs: DataFrame, model: DataFrame, span: int, block_rows: int, s
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in wordscan.slices(batches, "text", slice_bytes):
-            pairs, _, first = word_pairs(*wordscan.utf8(batch.column("text")))
+            pairs, first = word_pairs(*wordscan.utf8(batch.column("text")))
             single, double = np.zeros(len(pairs)), np.full(len(pairs), np.nan)
             for b in sent:
                 words, word_ratios, known, pair_ratios = b.value
@@ -239,6 +252,18 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2, steps: int = 5
     return w
 
 
+def rising(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """logistic() without the columns whose weights are below 0, so that more evidence never lowers a score."""
+    used = np.arange(x.shape[1])
+    w = logistic(x, y)
+    while (w[1:] < 0).any():
+        used = used[w[1:] >= 0]
+        w = logistic(x[:, used], y)
+    out = np.zeros(x.shape[1] + 1)
+    out[np.append(0, used + 1)] = w
+    return out
+
+
 def toxicity(
     docs: DataFrame,
     labels: DataFrame,
@@ -249,7 +274,6 @@ def toxicity(
     folds: int = 5,
     held_out: int = 0,
     evidence: float = 15.0,
-    least_pairs: int = 5,
     span: int = 8,
     calibration_rows: int = 20_000,
     block_rows: int = 500_000,
@@ -270,7 +294,8 @@ def toxicity(
     small = known.count() <= broadcast_labels
     near = F.broadcast(known) if small else known
     tune = (held_out + 1) % folds
-    model = likelihood_ratios(rows.join(near.where(F.col("fold") != tune), "id").select("text", "toxic"), evidence, least_pairs, slice_bytes, bucket_bytes)
+    counted = distinct_texts(rows.join(near.where(F.col("fold") != tune), "id"), broadcast_labels)
+    model = likelihood_ratios(counted, evidence, slice_bytes, bucket_bytes)
     ratios = materialize(text_ratios(rows, model, span, block_rows, slice_bytes), "scored")
     release(docs.sparkSession)
     tuned = ratios.join(near.where(F.col("fold") == tune), "id").select("id", "mean_ratio", "span_ratio", "toxic").distinct()
@@ -279,7 +304,7 @@ def toxicity(
     x = np.array([(r["mean_ratio"], r["span_ratio"]) for r in sample], float).reshape(-1, 2)
     scale = np.array([100.0, 10.0])
     if 0 < y.sum() < len(y):
-        w = logistic(x * scale, y)
+        w = rising(x * scale, y)
     else:  # nothing to fit: a curve that asks for one clear expression
         n = known.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("t"), F.count("*").alias("n")).first()
         share = (n["t"] + 1) / (n["n"] + 10)

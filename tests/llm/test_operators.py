@@ -493,6 +493,16 @@ def test_a_copied_passage_is_one_piece_of_evidence(spark):
     assert got[90_000]["predicted"] == 1 and got[90_001]["predicted"] == 0 and got[90_002]["predicted"] == 0
 
 
+def test_an_expression_after_one_word_counts_in_each_document(spark):
+    rng = random.Random(3)
+    rows = [(k, f"{prose(rng, 30)} you are a {'clown' if k % 4 == 0 else 'friend'} {prose(rng, 30)}", int(k % 4 == 0)) for k in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    test = [(90_000 + k, f"{prose(rng, 30)} you are a {word} {prose(rng, 30)}") for k, word in enumerate(("clown", "friend"))]
+    docs = frame.select("doc_id", "text").union(spark.createDataFrame(test, "doc_id bigint, text string"))
+    got = by_id(toxicity.toxicity(docs, frame.select("doc_id", "toxic")))
+    assert got[90_000]["predicted"] == 1 and got[90_001]["predicted"] == 0
+
+
 def test_a_text_is_a_text_whatever_the_blocks(spark, small):
     docs, _, labels = small
     one = toxicity.toxicity(docs, labels).select("doc_id", "score")
