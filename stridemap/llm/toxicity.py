@@ -1,57 +1,68 @@
 """Toxicity from class-conditional Kneser-Ney models.
 
 Words are lower-cased (A-Z) runs of [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]. Labelled training documents give counts
-of words and word pairs for the toxic and the ordinary class. n_c(h w) is the number of documents of class c with the
-pair, where documents of the same text count once; n_c(w) is, as in the lower order of any Kneser-Ney model, the number
-of distinct words before w. With discount D and h the word before w,
+of word pairs for the toxic and the ordinary class: n_c(h w) is the number of documents of class c with the pair, where
+documents of the same text count once. With an absolute discount of 1, h the word before w, and k_c(w) the number of
+distinct words before w (the continuation count of the lower order),
 
-    P_c(w | h) = max(n_c(h w) - D, 0) / n_c(h) + D * N_c(h .) / n_c(h) * P_c(w)
-    P_c(w)     = max(n_c(w) - D, 0) / n_c + D * V_c / n_c * S(w)
+    P_c(w | h) = (max(n_c(h w) - 1, 0) + N_c(h .) P_c(w)) / n_c(h), or P_c(w) where class c has no h
+    P_c(w)     = (max(k_c(w) - 1, 0) + V_c S(w)) / K_c
 
-where n_c(h) and n_c are sums, N_c(h .) and V_c count the words after h and all words, and S is the
-continuation share of w in both classes together. No expression is dropped for being rare: its log ratio of the classes
-is interpolated with that of the lower order (a pair's word; for words 0) at the weight
-1 / (1 + exp((evidence - G) / 2)), where G is the log-likelihood ratio statistic of its counts against those of all pairs
-or words. Expressions that no counted document has get the word's ratio, and 0 for unknown words.
+where n_c(h) and K_c are sums, N_c(h .) and V_c count the words after h and all words, and S is the continuation share of
+w in both classes together. r(h w) = log P_t(w | h) / P_o(w | h), and u(w) = log P_t(w) / P_o(w) less the constant that unknown words
+have (it depends on the sizes of the classes alone). Most expressions are as frequent in both classes but for chance, so each order
+is interpolated with the next lower one by the strength of its evidence:
 
-A document has two length-normalised log-likelihood ratios: the mean over its words, and the highest mean
-over `span` consecutive words. A logistic curve, fitted to training rows that gave no counts (a bounded
-sample of `calibration_rows`) without weights below 0, turns them into a score from 0 to 1.
+    e(w)   = s(G_w) u(w)
+    e(h w) = s(G_hw) r(h w) + (1 - s(G_hw)) e(w) where a class counts the pair twice or more, else e(w)
 
-Counts go as sorted arrays of pairs of 32-bit word hashes, dealt out by the hash of the first word. All
-expressions go to the executors in blocks of at most `block_rows`, which the driver sees one at a time; the executors hold
-them all. Labels and the hashes of copied texts are broadcast if there are at most `broadcast_labels`, else joined by a shuffle.
+with G the log-likelihood ratio statistic of an expression's counts in both classes against those of all, and
+s(G) = 1 / (1 + exp((evidence - G) / 2)). The discount leaves nothing of a pair counted once, so it has its word's e; and u is 0
+for words counted once at most. The table of the model leaves those out, which loses nothing. A document has the sum of e over all its words, normalised by length.
+
+Two numbers describe a document: the mean ratio of its words, and the highest mean over `span` consecutive words. A logistic curve without
+weights below 0, fitted to at most `calibration_rows` labelled rows (of one training fold, in order of a hash) that give no
+counts, turns them into a score from 0 to 1. All other labelled training rows are counted.
+
+Words are 64-bit hashes. Counts go as sorted arrays, dealt out by the hash of the pair, so a frequent word is in all
+buckets; where such arrays would be shorter than `blob_bytes`, they go as rows that Spark sums. A model of at most
+`broadcast_rows` expressions (16 bytes each) is broadcast; a larger one is joined with the distinct expressions of each chunk of
+documents by a shuffle. Labels and the hashes of copied texts are broadcast if there are at most `broadcast_labels`, else joined by a
+shuffle.
 
 Cases: null and empty texts have the ratios 0 and the score of no evidence; null labels and labels of unknown documents
-are ignored; of several labels of a document the highest counts; repeated rows have equal scores; without labels of both classes no
-expression has evidence and every score is the smoothed share of toxic labels. An empty table gives no rows.
+are ignored; of several labels of a document the highest counts; repeated rows have equal scores; without labels of both classes
+every ratio is 0 and every score is the smoothed share of toxic labels. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stridemap.llm import wordscan
 from stridemap.session import discard, materialize, release
 
-DISCOUNT = 0.75
 START = np.uint64(1)  # stands before a document's first word
+FACTOR = np.uint64(0x9FB21C651E98DF25)
 
 
-def word_pairs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(for each word the hashes of the word before and its own as one number, first word of each text)."""
+def word_pairs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(for each word the hash of the word before, its own, first word of each text)."""
     mapped, starts, ends, first = wordscan.words(data, offsets, wordscan.alnum_table())
-    word = wordscan.span_hash(wordscan.prefix_hash(mapped), starts, ends) >> np.uint64(32)
+    word = wordscan.span_hash(wordscan.prefix_hash(mapped), starts, ends)
     before = np.empty_like(word)
     before[1:] = word[:-1]
-    heads = first[:-1][first[:-1] < first[1:]]
-    before[heads] = START
-    return (before << np.uint64(32)) | word, first
+    before[first[:-1][first[:-1] < first[1:]]] = START
+    return before, word, first
+
+
+def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return wordscan.mix(before * FACTOR + word)
 
 
 def _sum_by(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -64,17 +75,6 @@ def _sum_by(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
     return (keys[heads], *(np.add.reduceat(c[order], heads) for c in counts))
 
 
-def _deal(keys: np.ndarray, key_bits: int, bits: int, kind: int, columns: list[np.ndarray]) -> Iterator[tuple]:
-    cuts = np.append(np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(key_bits - bits)), len(keys))
-    for bucket in np.flatnonzero(np.diff(cuts)).tolist():
-        a, b = cuts[bucket], cuts[bucket + 1]
-        yield kind, bucket, *(c[a:b].tobytes() for c in columns)
-
-
-def _gather(group: pa.Table, name: str, kind: str) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in group.column(name)])
-
-
 def distinct_texts(rows: DataFrame, broadcast_rows: int) -> DataFrame:
     """Labelled rows (text, toxic), copies of a text once in each class. Only texts with copies are shuffled."""
     marked = rows.select("text", "toxic", F.xxhash64("text").alias("mark"))
@@ -84,155 +84,205 @@ def distinct_texts(rows: DataFrame, broadcast_rows: int) -> DataFrame:
     return once.unionByName(marked.join(near, ["mark", "toxic"], "left_semi").dropDuplicates(["mark", "toxic"])).select("text", "toxic")
 
 
-def likelihood_ratios(rows: DataFrame, evidence: float, slice_bytes: int, bucket_bytes: int) -> DataFrame:
-    """(is_pair, key, ratio) of all expressions of labelled rows (text, toxic)."""
+#: Counts of a word: as the first of a pair in toxic and ordinary documents, words after it there, words before it there and in both.
+STATS = ["n_t", "n_o", "after_t", "after_o", "before_t", "before_o", "before"]
+
+
+def pair_counts(rows: DataFrame, slice_bytes: int, bucket_bytes: int, blob_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """Of labelled rows (text, toxic): pairs (h, w, t, o) that a class counts twice or more, and word counts (word, STATS)."""
     spark = rows.sparkSession
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    # about two bytes of counts for each byte of text, and buckets of at most about bucket_bytes
-    bits = max(4, (2 * total // bucket_bytes).bit_length())
+    # about three bytes of counts for each byte of text, and buckets of at most about bucket_bytes
+    bits = max(4, (3 * total // bucket_bytes).bit_length())
+    as_rows = (3 * slice_bytes) >> bits < blob_bytes
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in wordscan.slices(batches, "text", slice_bytes):
-            pairs, first = word_pairs(*wordscan.utf8(batch.column("text")))
-            if not len(pairs):
+            before, word, first = word_pairs(*wordscan.utf8(batch.column("text")))
+            if not len(word):
                 continue
+            keys = pair_keys(before, word)
             text = np.repeat(np.arange(batch.num_rows), np.diff(first))
-            order = np.argsort(pairs, kind="stable")
-            pairs, text = pairs[order], text[order]
-            heads = np.flatnonzero(np.concatenate(([True], (pairs[1:] != pairs[:-1]) | (text[1:] != text[:-1]))))
+            order = np.argsort(keys, kind="stable")
+            keys, text = keys[order], text[order]
+            heads = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (text[1:] != text[:-1]))))
             toxic = batch.column("toxic").to_numpy(zero_copy_only=False)[text[heads]]
-            keys, bad, good = _sum_by(pairs[heads], (toxic == 1).astype("<u4"), (toxic != 1).astype("<u4"))
-            c = list(zip(*_deal(keys, 64, bits, 0, [keys.astype("<u8"), bad.astype("<u4"), good.astype("<u4")]), strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c[1], pa.int32()), *(pa.array(x, pa.binary()) for x in c[2:])], names=["bucket", "pairs", "bad", "good"])
-
-    def settle_pairs(group: pa.Table) -> pa.Table:
-        keys, bad, good = _sum_by(_gather(group, "pairs", "<u8"), *(_gather(group, x, "<u4").astype(np.int64) for x in ("bad", "good")))
-        before, word = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
-        in_bad, in_good = (bad > 0).astype(np.int64), (good > 0).astype(np.int64)
-        h, h_bad, h_good, n_bad, n_good = _sum_by(before, bad, good, in_bad, in_good)
-        w, w_bad, w_good, follows = _sum_by(word, in_bad, in_good, np.ones(len(keys), np.int64))
-        out = list(_deal(w, 32, bits, 1, [x.astype("<i8") for x in (w, w_bad, w_good, follows)]))
-        at = np.searchsorted(h, before)
-        columns = (keys.view(np.int64), bad, good, h_bad[at], h_good[at], n_bad[at], n_good[at])
-        out.append((0, -1, *(x.astype("<i8").tobytes() for x in columns)))
-        full = [(*r, *[b""] * (9 - len(r))) for r in out]
-        c = list(zip(*full, strict=True))
-        return pa.table([pa.array(c[0], pa.int32()), pa.array(c[1], pa.int32()), *(pa.array(x, pa.binary()) for x in c[2:])], names=["kind", "bucket", *"abcdefg"])
-
-    def settle_words(group: pa.Table) -> pa.Table:
-        w, bad, good, follows = _sum_by(*(_gather(group, x, "<i8") for x in "abcd"))
-        sums = [bad.sum(), good.sum(), (bad > 0).sum(), (good > 0).sum(), follows.sum()]
-        columns = [np.concatenate(([s], x)) for s, x in zip([-1, sums[0], sums[1], sums[4], sums[2], sums[3]], [w, bad, good, follows, 0 * w, 0 * w], strict=True)]
-        return pa.table([pa.array(x, pa.int64()) for x in columns], names=["w", "bad", "good", "follows", "v_bad", "v_good"])
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                columns = [np.frombuffer(batch.column(x)[k].as_buffer(), "<i8") for x in "abcdefg"]
-                for a in range(0, len(columns[0]), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in columns], names=["pair", "bad", "good", "h_bad", "h_good", "n_bad", "n_good"])
-
-    blobs = rows.mapInArrow(count, "bucket int, pairs binary, bad binary, good binary")
-    binary = ", ".join(f"{x} binary" for x in "abcdefg")
-    settled = materialize(blobs.groupBy("bucket").applyInArrow(settle_pairs, f"kind int, bucket int, {binary}"), "pairs")
+            at = order[heads]
+            keys, where, t, o = _first_by(keys[heads], at, (toxic == 1).astype("<i4"), (toxic != 1).astype("<i4"))
+            columns = [before[where].view("<i8"), word[where].view("<i8"), t.astype("<i4"), o.astype("<i4")]
+            if as_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "w", "t", "o"])
+                continue
+            cuts = np.append(np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(keys))
+            full = np.flatnonzero(np.diff(cuts)).tolist()
+            blobs = [[c[cuts[b] : cuts[b + 1]].tobytes() for b in full] for c in columns]
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *(pa.array(x, pa.binary()) for x in blobs)], names=["bucket", "h", "w", "t", "o"])
+
+    def settle(group: pa.Table) -> pa.Table:
+        h, w, t, o = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in group.column(name)]) for name, kind in zip("hwto", ("<u8", "<u8", "<i4", "<i4"), strict=True))
+        _, at, t, o = _first_by(pair_keys(h, w), np.arange(len(h)), t, o)
+        h, w = h[at], w[at]
+        in_t, in_o, none = (t > 0).astype("<i4"), (o > 0).astype("<i4"), np.zeros(len(h), "<i4")
+        of_h, of_w = [t, o, in_t, in_o, none, none, none], [none, none, none, none, in_t, in_o, none + 1]
+        word, *stats = _sum_by(np.concatenate((h, w)), *(np.concatenate(c) for c in zip(of_h, of_w, strict=True)))
+        often = (t > 1) | (o > 1)
+        n, m = int(often.sum()), len(word)
+        columns = [np.repeat([0, 1], (n, m)).astype("<i4"), np.concatenate((h[often], word)).view("<i8"), np.concatenate((w[often].view("<i8"), np.zeros(m, "<i8")))]
+        columns += [np.concatenate((c, s)) for c, s in zip((t[often], o[often], *[np.zeros(n, "<i4")] * 5), stats, strict=True)]
+        return pa.table([pa.array(c.astype("<i4") if k > 2 else c) for k, c in enumerate(columns)], names=["kind", "h", "w", *STATS])
+
+    if as_rows:
+        pairs = rows.mapInArrow(count, "h bigint, w bigint, t int, o int").groupBy("h", "w").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
+        pairs = materialize(pairs, "pairs")
+        ints = lambda *c: [x.cast("bigint").alias(s) for x, s in zip(c, STATS, strict=True)]
+        seen = [(F.col(c) > 0).cast("int") for c in ("t", "o")]
+        zero = F.lit(0)
+        stats = pairs.select(F.col("h").alias("word"), *ints(F.col("t"), F.col("o"), *seen, zero, zero, zero)).unionByName(pairs.select(F.col("w").alias("word"), *ints(zero, zero, zero, zero, *seen, F.lit(1))))
+        often = pairs.where("t > 1 or o > 1")
+    else:
+        blobs = rows.mapInArrow(count, "bucket int, h binary, w binary, t binary, o binary")
+        pairs = materialize(blobs.groupBy("bucket").applyInArrow(settle, f"kind int, h bigint, w bigint, {', '.join(f'{s} int' for s in STATS)}"), "pairs")
+        stats = pairs.where("kind = 1").select(F.col("h").alias("word"), *STATS)
+        often = pairs.where("kind = 0").select("h", "w", F.col(STATS[0]).alias("t"), F.col(STATS[1]).alias("o"))
     release(spark)
-    words = materialize(settled.where("kind = 1").groupBy("bucket").applyInArrow(settle_words, "w bigint, bad bigint, good bigint, follows bigint, v_bad bigint, v_good bigint"), "words")
-    total = words.where("w = -1").agg(*(F.coalesce(F.sum(x), F.lit(0)).cast("double").alias(x) for x in ("bad", "good", "follows", "v_bad", "v_good"))).first()
-    if not total["bad"] or not total["good"]:
-        return spark.createDataFrame([], "is_pair boolean, key bigint, ratio double")
-
-    def strength(bad, good, all_bad, all_good):
-        """The log-likelihood ratio statistic of counts against the shares of what they are part of."""
-        n, share = bad + good, all_bad / (all_bad + all_good)
-        term = lambda x, p: F.when(x > 0, x * F.log(x / (n * p))).otherwise(0.0)
-        return 2 * (term(bad, share) + term(good, 1 - share))
-
-    shared = F.col("follows") / total["follows"]
-    estimate = lambda n, all_n, v: F.greatest(F.col(n) - DISCOUNT, F.lit(0.0)) / all_n + DISCOUNT * v / all_n * shared
-    words = words.where("w >= 0").select("w", "bad", "good", estimate("bad", total["bad"], total["v_bad"]).alias("p_bad"), estimate("good", total["good"], total["v_good"]).alias("p_good"))
-    weight = lambda x: 1 / (1 + F.exp((F.lit(evidence) - x) / 2))
-    words = words.withColumn("own", F.log(F.col("p_bad") / F.col("p_good")) * weight(strength(F.col("bad"), F.col("good"), F.lit(total["bad"]), F.lit(total["good"]))))
-    single = words.select(F.lit(False).alias("is_pair"), F.col("w").alias("key"), F.col("own").alias("ratio"))
-    pairs = settled.where("kind = 0").mapInArrow(unpack, "pair bigint, bad bigint, good bigint, h_bad bigint, h_good bigint, n_bad bigint, n_good bigint")
-    all_pairs = pairs.agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).first()
-    pairs = pairs.withColumn("w", F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)))
-    both = pairs.join(words.select("w", "p_bad", "p_good", "own"), "w")
-
-    def given(n, h, v, p):
-        inside = F.greatest(F.col(n) - DISCOUNT, F.lit(0.0)) / F.col(h) + DISCOUNT * F.col(v) / F.col(h) * F.col(p)
-        return F.when(F.col(h) > 0, inside).otherwise(F.col(p))
-
-    sure = weight(strength(F.col("bad"), F.col("good"), F.lit(float(all_pairs["bad"])), F.lit(float(all_pairs["good"]))))
-    of_pair = F.log(given("bad", "h_bad", "n_bad", "p_bad") / given("good", "h_good", "n_good", "p_good"))
-    double = both.select(F.lit(True).alias("is_pair"), F.col("pair").alias("key"), (sure * of_pair + (1 - sure) * F.col("own")).alias("ratio"))
-    out = materialize(single.unionByName(double), "ratios")
-    discard(settled)
-    return out
-
+    words = materialize(stats.groupBy("word").agg(*(F.sum(s).alias(s) for s in STATS)), "words")
+    release(spark)
+    often._stridemap_path = pairs._stridemap_path
+    return often, words
 
-def _blocks(model: DataFrame, block_rows: int) -> Iterator[tuple]:
-    """Sorted arrays (word hashes, ratios, pairs, ratios) of at most block_rows expressions each."""
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("is_pair", "key", "ratio")]
-            for a in range(0, batch.num_rows, block_rows):
-                flags, keys, ratios = (x[a : a + block_rows] for x in columns)
-                own = [x[flags == flag].tobytes() for flag in (False, True) for x in (keys.astype("<i8"), ratios.astype("<f8"))]
-                yield pa.RecordBatch.from_arrays([pa.array([len(keys)], pa.int64()), *(pa.array([x], pa.binary()) for x in own)], names=["n", *"abcd"])
-
-    def arrays(rows: list) -> tuple:
-        out = []
-        for key, ratio in ("ab", "cd"):
-            keys = np.frombuffer(b"".join(r[key] for r in rows), np.uint64)
-            order = np.argsort(keys, kind="stable")
-            out += [keys[order], np.frombuffer(b"".join(r[ratio] for r in rows), "<f8")[order]]
-        return tuple(out)
+def _first_by(keys: np.ndarray, places: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys in order, a place of each, and the sums of their counts."""
+    if not len(keys):
+        return (keys, places, *counts)
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return (keys[heads], places[order][heads], *(np.add.reduceat(c[order], heads) for c in counts))
+
+
+def likelihood_ratios(rows: DataFrame, evidence: float, slice_bytes: int, bucket_bytes: int, blob_bytes: int) -> DataFrame:
+    """(h, w, e) of the pairs, and with h null of the words, of labelled rows (text, toxic)."""
+    often, words = pair_counts(rows, slice_bytes, bucket_bytes, blob_bytes)
+    n = words.agg(*(F.coalesce(F.sum(s), F.lit(0)).cast("double").alias(s) for s in STATS), *(F.count_if(F.col(s) > 0).alias("v" + s[-2:]) for s in ("before_t", "before_o"))).first()
+    if not n["before_t"] or not n["before_o"]:
+        discard(often, words)
+        return rows.sparkSession.createDataFrame([], "h bigint, w bigint, e double")
+
+    def weight(t: str, o: str, all_t: float, all_o: float) -> Column:
+        """s(G) of counts t and o."""
+        share, both = all_t / (all_t + all_o), F.col(t) + F.col(o)
+        term = lambda x, p: F.when(x > 0, x * F.log(x / (both * p))).otherwise(0.0)
+        return 1 / (1 + F.exp(F.lit(evidence / 2) - term(F.col(t), share) - term(F.col(o), 1 - share)))
+
+    lower = lambda c: (F.greatest(F.col(f"before_{c}") - 1, F.lit(0)) + n[f"v_{c}"] * F.col("before") / n["before"]) / n[f"before_{c}"]
+    unknown = float(np.log(n["v_t"] / n["before_t"]) - np.log(n["v_o"] / n["before_o"]))
+    e = weight("before_t", "before_o", n["before_t"], n["before_o"]) * (F.log(lower("t") / lower("o")) - unknown)
+    of_w = words.where("before > 0").select(F.col("word").alias("w"), lower("t").alias("p_t"), lower("o").alias("p_o"), F.when(F.greatest("before_t", "before_o") > 1, e).otherwise(0.0).alias("e_w"))
+    of_h = words.select(F.col("word").alias("h"), "n_t", "n_o", "after_t", "after_o")
+    both = often.join(of_w, "w").join(of_h, "h")
+    given = lambda c, own: F.when(F.col(f"n_{c}") > 0, (F.greatest(F.col(own) - 1, F.lit(0)) + F.col(f"after_{c}") * F.col(f"p_{c}")) / F.col(f"n_{c}")).otherwise(F.col(f"p_{c}"))
+    sure = weight("t", "o", n["n_t"], n["n_o"])
+    double = both.select("h", "w", (sure * F.log(given("t", "t") / given("o", "o")) + (1 - sure) * F.col("e_w")).alias("e"))
+    single = of_w.where("e_w <> 0").select(F.lit(None).cast("bigint").alias("h"), "w", F.col("e_w").alias("e"))
+    out = materialize(single.unionByName(double), "ratios")
+    discard(often, words)
+    return out
 
-    rows: list = []
-    n = 0
-    for row in model.mapInArrow(pack, "n bigint, a binary, b binary, c binary, d binary").toLocalIterator():
-        if rows and n + row["n"] > block_rows:
-            yield arrays(rows)
-            rows, n = [], 0
-        rows.append(row)
-        n += row["n"]
-    if rows:
-        yield arrays(rows)
 
+class Model:
+    """Expressions of a model in sorted arrays."""
+
+    def __init__(self, table: pa.Table):
+        is_pair = table.column("h").is_valid().to_numpy()
+        h, w = (table.column(c).fill_null(0).to_numpy().astype("<i8").view(np.uint64) for c in "hw")
+        e = table.column("e").to_numpy().astype(float)
+        keys = pair_keys(h[is_pair], w[is_pair])
+        order = np.argsort(keys, kind="stable")
+        self.pairs, self.of_pair = keys[order], e[is_pair][order]
+        order = np.argsort(w[~is_pair], kind="stable")
+        self.words, self.of_word = w[~is_pair][order], e[~is_pair][order]
+
+    def evidence(self, before: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """e of each word after the one before it."""
+        known = _look_up(pair_keys(before, word), self.pairs, self.of_pair, np.nan)
+        return np.where(np.isnan(known), _look_up(word, self.words, self.of_word, 0.0), known)
+
+
+def _look_up(keys: np.ndarray, known: np.ndarray, values: np.ndarray, other: float) -> np.ndarray:
+    if not len(known):
+        return np.full(len(keys), other)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return np.where(known[at] == keys, values[at], other)
+
+
+def _judged(batch: pa.RecordBatch, model: Model, span: int) -> pa.RecordBatch:
+    """(id, mean_ratio, span_ratio) of the rows (id, text) of a batch."""
+    before, word, first = word_pairs(*wordscan.utf8(batch.column("text")))
+    total = np.concatenate(([0.0], np.cumsum(model.evidence(before, word))))
+    n = np.diff(first)
+    mean = (total[first[1:]] - total[first[:-1]]) / np.maximum(n, 1)
+    best = mean.copy()
+    long = np.flatnonzero(n >= span)
+    if len(long):
+        window = np.append((total[span:] - total[:-span]) / span, np.zeros(span))
+        ends = first[long + 1] - span + 1
+        best[long] = np.maximum.reduceat(window, np.ravel(np.column_stack((first[long], ends))))[::2]
+    # rounded, so that sums over other neighbours in a batch don't show
+    return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.round(mean, 9)), pa.array(np.round(best, 9))], names=["id", "mean_ratio", "span_ratio"])
+
+
+def text_ratios(docs: DataFrame, model: DataFrame, span: int, broadcast_rows: int, slice_bytes: int) -> DataFrame:
+    """(id, mean_ratio, span_ratio) of rows (id, text)."""
+    kind = docs.schema["id"].dataType.simpleString()
+    result = f"id {kind}, mean_ratio double, span_ratio double"
+    if model.count() <= broadcast_rows:
+        sent = docs.sparkSession.sparkContext.broadcast(Model(model.toArrow()))
 
-def _look_up(keys: np.ndarray, known: np.ndarray, values: np.ndarray, out: np.ndarray) -> None:
-    if len(known):
-        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-        hit = known[at] == keys
-        out[hit] = values[at[hit]]
+        def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in wordscan.slices(batches, "text", slice_bytes):
+                yield _judged(batch, sent.value, span)
 
+        return docs.mapInArrow(judge, result)
 
-def text_ratios(docs: DataFrame, model: DataFrame, span: int, block_rows: int, slice_bytes: int) -> DataFrame:
-    """(id, mean_ratio, span_ratio) of rows (id, text)."""
-    sent = [docs.sparkSession.sparkContext.broadcast(b) for b in _blocks(model, block_rows)]
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 32
         for batch in wordscan.slices(batches, "text", slice_bytes):
-            pairs, first = word_pairs(*wordscan.utf8(batch.column("text")))
-            single, double = np.zeros(len(pairs)), np.full(len(pairs), np.nan)
-            for b in sent:
-                words, word_ratios, known, pair_ratios = b.value
-                _look_up(pairs & np.uint64(0xFFFFFFFF), words, word_ratios, single)
-                _look_up(pairs, known, pair_ratios, double)
-            total = np.concatenate(([0.0], np.cumsum(np.where(np.isnan(double), single, double))))
-            n = np.diff(first)
-            mean = (total[first[1:]] - total[first[:-1]]) / np.maximum(n, 1)
-            best = mean.copy()
-            long = np.flatnonzero(n >= span)
-            if len(long):
-                window = np.append((total[span:] - total[:-span]) / span, np.zeros(span))
-                ends = first[long + 1] - span + 1
-                cuts = np.ravel(np.column_stack((first[long], ends)))
-                best[long] = np.maximum.reduceat(window, cuts)[::2]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(mean), pa.array(best)], names=["id", "mean_ratio", "span_ratio"])
-
-    return docs.mapInArrow(judge, f"id {docs.schema['id'].dataType.simpleString()}, mean_ratio double, span_ratio double")
+            ids, texts = (pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(c)) for c in ("id", "text"))
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), ids, texts], names=["chunk", "ids", "texts"])
+            chunk += 1
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int]]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                ids, texts = (batch.column(c).slice(k, 1).flatten() for c in ("ids", "texts"))
+                yield batch.slice(k, 1), pa.RecordBatch.from_arrays([ids, texts], names=["id", "text"])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, rows in opened(batches):
+            before, word, _ = word_pairs(*wordscan.utf8(rows.column("text")))
+            _, at = np.unique(pair_keys(before, word), return_index=True)
+            single = np.unique(word)
+            h = pa.array(np.concatenate((before[at].view(np.int64), np.zeros(len(single), np.int64))), mask=np.repeat([False, True], (len(at), len(single))))
+            w = np.concatenate((word[at], single)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), row.column("chunk")[0].as_py())), h, pa.array(w)], names=["chunk", "h", "w"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, rows in opened(batches):
+            known = row.column("known").flatten()
+            yield _judged(rows, Model(pa.table(known.flatten(), names=["h", "w", "e"])), span)
+
+    chunks = materialize(docs.mapInArrow(pack, f"chunk bigint, ids array<{kind}>, texts array<string>"), "chunks")
+    asked = chunks.select("chunk", "texts", "ids").mapInArrow(ask, "chunk bigint, h bigint, w bigint")
+    # words and pairs apart: a join on equal values is spread and can be split, one on null-safe values can't
+    here, there = (asked.where(f"h is {x}null") for x in ("not ", "")), (model.where(f"h is {x}null") for x in ("not ", ""))
+    found = next(here).join(next(there), ["h", "w"]).select("chunk", "h", "w", "e").unionByName(next(here).join(next(there).drop("h"), "w").select("chunk", F.lit(None).cast("bigint").alias("h"), "w", "e"))
+    known = found.groupBy("chunk").agg(F.collect_list(F.struct("h", "w", "e")).alias("known"))
+    empty = F.array().cast("array<struct<h:bigint,w:bigint,e:double>>")
+    full = chunks.join(known, "chunk", "left").select("ids", "texts", F.coalesce("known", empty).alias("known"))
+    return full.mapInArrow(answer, result)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2, steps: int = 50) -> np.ndarray:
@@ -276,39 +326,45 @@ def toxicity(
     evidence: float = 15.0,
     span: int = 8,
     calibration_rows: int = 20_000,
-    block_rows: int = 500_000,
+    broadcast_rows: int = 8_000_000,
     broadcast_labels: int = 1_000_000,
     slice_bytes: int = 2 << 20,
+    count_bytes: int = 8 << 20,
     bucket_bytes: int = 16 << 20,
+    blob_bytes: int = 512,
 ) -> DataFrame:
     """One row for each document: id, held_out, mean_ratio, span_ratio, score, predicted.
 
-    Labels of rows with crc32(id as text) mod folds = held_out are never read; the next fold's
-    serve for the logistic curve, the others' for the counts.
+    Labels of rows with crc32(id as text) mod folds = held_out are never read. Of the next fold's, the first
+    calibration_rows in order of a hash serve for the logistic curve; all others are counted.
     """
     wordscan.bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     fold = F.pmod(F.crc32(F.col("id").cast("string")), F.lit(folds))
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where("toxic in (0, 1) and id is not null").withColumn("fold", fold)
     known = materialize(known.where(F.col("fold") != held_out).groupBy("id", "fold").agg(F.max("toxic").alias("toxic")), "labels")
-    small = known.count() <= broadcast_labels
-    near = F.broadcast(known) if small else known
-    tune = (held_out + 1) % folds
-    counted = distinct_texts(rows.join(near.where(F.col("fold") != tune), "id"), broadcast_labels)
-    model = likelihood_ratios(counted, evidence, slice_bytes, bucket_bytes)
-    ratios = materialize(text_ratios(rows, model, span, block_rows, slice_bytes), "scored")
+    near: Callable[[DataFrame], DataFrame] = F.broadcast if known.count() <= broadcast_labels else (lambda df: df)
+    tune = known.where(F.col("fold") == (held_out + 1) % folds).orderBy(F.xxhash64("id"), "id").limit(calibration_rows)
+    tune = materialize(tune.select("id", "toxic"), "tune")
+    learned = known.join(F.broadcast(tune), "id", "left_anti").select("id", "toxic")
+    counted = distinct_texts(rows.join(near(learned), "id"), broadcast_labels)
+    model = likelihood_ratios(counted, evidence, count_bytes, bucket_bytes, blob_bytes)
+    ratios = materialize(text_ratios(rows, model, span, broadcast_rows, slice_bytes), "scored")
+    discard(model)
     release(docs.sparkSession)
-    tuned = ratios.join(near.where(F.col("fold") == tune), "id").select("id", "mean_ratio", "span_ratio", "toxic").distinct()
-    sample = tuned.orderBy(F.xxhash64("id"), "id").limit(calibration_rows).select("mean_ratio", "span_ratio", "toxic").collect()
+    sample = ratios.join(F.broadcast(tune), "id").select("id", "mean_ratio", "span_ratio", "toxic").distinct().orderBy(F.xxhash64("id"), "id", "mean_ratio", "span_ratio")
+    sample = sample.limit(calibration_rows).select("mean_ratio", "span_ratio", "toxic").collect()
     y = np.array([r["toxic"] for r in sample], float)
     x = np.array([(r["mean_ratio"], r["span_ratio"]) for r in sample], float).reshape(-1, 2)
-    scale = np.array([100.0, 10.0])
     if 0 < y.sum() < len(y):
-        w = rising(x * scale, y)
+        middle, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
+        w = rising((x - middle) / scale, y)
+        slope = w[1:] / scale
+        base = w[0] - float(slope @ middle)
     else:  # nothing to fit: a curve that asks for one clear expression
         n = known.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("t"), F.count("*").alias("n")).first()
         share = (n["t"] + 1) / (n["n"] + 10)
-        w = np.array([np.log(share / (1 - share)), 0.0, 1.0])
-    raw = F.lit(float(w[0])) + F.lit(float(w[1] * scale[0])) * F.col("mean_ratio") + F.lit(float(w[2] * scale[1])) * F.col("span_ratio")
+        base, slope = np.log(share / (1 - share)), np.array([0.0, 10.0])
+    raw = F.lit(float(base)) + F.lit(float(slope[0])) * F.col("mean_ratio") + F.lit(float(slope[1])) * F.col("span_ratio")
     out = ratios.withColumn("held_out", F.coalesce(fold == held_out, F.lit(False))).withColumn("score", 1 / (1 + F.exp(-F.greatest(F.least(raw, F.lit(30.0)), F.lit(-30.0)))))
     return out.select(F.col("id").alias(id_col), "held_out", "mean_ratio", "span_ratio", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -503,8 +504,69 @@ def test_an_expression_after_one_word_counts_in_each_document(spark):
     assert got[90_000]["predicted"] == 1 and got[90_001]["predicted"] == 0
 
 
-def test_a_text_is_a_text_whatever_the_blocks(spark, small):
+def plain_evidence(rows, evidence=15.0):
+    """e(before, word) by the formulas, from dictionaries."""
+    rx = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    n = [collections.Counter(), collections.Counter()]  # ordinary, toxic
+    for text, toxic in set(rows):
+        words = rx.findall(text.translate(LOWER))
+        n[toxic].update(set(zip([None, *words], words)))
+    h_n, after, before = ([collections.Counter(), collections.Counter()] for _ in range(3))
+    for c in (0, 1):
+        for (h, w), k in n[c].items():
+            h_n[c][h] += k
+            after[c][h] += 1
+            before[c][w] += 1
+    both = collections.Counter(w for _, w in set(n[0]) | set(n[1]))
+    totals, kinds, pairs = [sum(b.values()) for b in before], [len(b) for b in before], [sum(x.values()) for x in n]
+
+    def s(counts, of):
+        g = 2 * sum(x * math.log(x / (sum(counts) * y / sum(of))) for x, y in zip(counts, of, strict=True) if x)
+        return 1 / (1 + math.exp((evidence - g) / 2))
+
+    lower = lambda c, w: (max(before[c][w] - 1, 0) + kinds[c] * both[w] / sum(both.values())) / totals[c]
+    given = lambda c, h, w: (max(n[c][h, w] - 1, 0) + after[c][h] * lower(c, w)) / h_n[c][h] if h_n[c][h] else lower(c, w)
+
+    def e(h, w):
+        own = 0.0
+        if max(before[0][w], before[1][w]) > 1:
+            own = s([before[c][w] for c in (0, 1)], totals) * (math.log(lower(1, w) / lower(0, w)) - math.log(kinds[1] / totals[1]) + math.log(kinds[0] / totals[0]))
+        if max(n[0][h, w], n[1][h, w]) < 2:
+            return own
+        sure = s([n[c][h, w] for c in (0, 1)], pairs)
+        return sure * math.log(given(1, h, w) / given(0, h, w)) + (1 - sure) * own
+
+    return lambda text: [e(h, w) for words in [rx.findall(text.translate(LOWER))] for h, w in zip([None, *words], words)]
+
+
+@pytest.mark.parametrize(("blob_bytes", "broadcast_rows"), [(1, 10**6), (1 << 30, 10**6), (1, 0)])
+def test_evidence_equals_a_plain_model(spark, blob_bytes, broadcast_rows):
+    rng = random.Random(5)
+    rows = [(f"{prose(rng, 40)}{' you Clown' if k % 5 == 0 else ' kind friend'}, {prose(rng, rng.randrange(30))}", int(k % 5 == 0)) for k in range(200)]
+    rows += [("", 1), ("x", 0), rows[0], rows[3], ("a clown " * 30, 1)]
+    distinct = toxicity.distinct_texts(spark.createDataFrame(rows, "text string, toxic int"), broadcast_rows)
+    model = toxicity.likelihood_ratios(distinct, 15.0, 4000, 1 << 20, blob_bytes)
+    texts = [t for t, _ in rows[::7]] + ["", "Clown", "you you you clown", "unknown words only here and there and everywhere", prose(rng, 500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    got = {r["id"]: (r["mean_ratio"], r["span_ratio"]) for r in toxicity.text_ratios(docs, model, 8, broadcast_rows, 700).collect()}
+    evidence = plain_evidence(rows)
+    for k, text in enumerate(texts):
+        e = evidence(text)
+        mean = sum(e) / max(1, len(e))
+        spans = [sum(e[j : j + 8]) / 8 for j in range(len(e) - 7)] or [mean]
+        assert abs(got[k][0] - mean) < 1e-8 and abs(got[k][1] - max(spans)) < 1e-8
+
+
+def test_contexts_are_counted_beyond_sixteen_bits(spark):
+    texts = [" ".join(f"c{k} word" for k in range(a, a + 10_000)) for a in range(0, 80_000, 10_000)]
+    rows = spark.createDataFrame([(t, k % 2) for k, t in enumerate(texts)], "text string, toxic int")
+    _, words = toxicity.pair_counts(rows, 1 << 20, 1 << 20, 1)
+    top = words.orderBy(F.desc("before")).first()
+    assert (top["before"], top["before_t"], top["before_o"]) == (80_000, 40_000, 40_000)
+
+
+def test_scores_do_not_depend_on_the_way(spark, small):
     docs, _, labels = small
     one = toxicity.toxicity(docs, labels).select("doc_id", "score")
-    many = toxicity.toxicity(docs, labels, block_rows=1, broadcast_labels=0).select("doc_id", "score")
-    assert {tuple(r) for r in one.collect()} == {tuple(r) for r in many.collect()}
+    many = toxicity.toxicity(docs, labels, broadcast_rows=0, broadcast_labels=0, blob_bytes=1 << 30).select("doc_id", "score")
+    assert {(r[0], round(r[1], 6)) for r in one.collect()} == {(r[0], round(r[1], 6)) for r in many.collect()}
