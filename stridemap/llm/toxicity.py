@@ -329,7 +329,7 @@ def toxicity(
     broadcast_rows: int = 8_000_000,
     broadcast_labels: int = 1_000_000,
     slice_bytes: int = 2 << 20,
-    count_bytes: int = 8 << 20,
+    count_bytes: int = 3 << 20,
     bucket_bytes: int = 16 << 20,
     blob_bytes: int = 512,
 ) -> DataFrame:
