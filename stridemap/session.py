@@ -6,6 +6,9 @@ import gc
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +52,33 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+class Scratch:
+    """Tables that materialize() writes within a scratch() block."""
+
+    def __init__(self) -> None:
+        self.written: list[DataFrame] = []
+
+    def keep(self, *frames: DataFrame) -> None:
+        """Let these tables outlive the block."""
+        paths = {getattr(df, "_stridemap_path", None) for df in frames}
+        self.written = [df for df in self.written if df._stridemap_path not in paths]
+
+
+_open: ContextVar[tuple[Scratch, ...]] = ContextVar("scratch", default=())
+
+
+@contextmanager
+def scratch() -> Iterator[Scratch]:
+    """Delete at the end all tables that were written within, but those that are kept."""
+    own = Scratch()
+    before = _open.set((*_open.get(), own))
+    try:
+        yield own
+    finally:
+        _open.reset(before)
+        discard(*own.written)
+
+
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends here, and the
     result survives the loss of any executor."""
@@ -57,6 +87,8 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stridemap_path = path
+    for own in _open.get():
+        own.written.append(out)
     return out
 
 
