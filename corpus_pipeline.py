@@ -22,13 +22,14 @@ from stridemap.llm.near_dedup import near_duplicates
 from stridemap.llm.queries import VOCABULARY
 from stridemap.llm.token_output import read_shards, write_shards
 from stridemap.llm.toxicity import toxicity
-from stridemap.session import materialize, read
+from stridemap.session import discard, materialize, read, scratch
 
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """The documents but those whose id is in rejected; null is an id."""
-    ids = rejected.select(F.col("doc_id").alias("rejected_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["rejected_id"]), "left_anti")
+    ids = rejected.select(F.col("doc_id").alias("id")).distinct()
+    rows = docs.alias("own")
+    return rows.join(ids.alias("out"), F.col("own.doc_id").eqNullSafe(F.col("out.id")), "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +44,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     again = materialize(again.select("doc_id"), "repeated")
     if again.limit(1).count() == 0:
         return kept
-    repeated = kept.join(again, "doc_id", "left_semi").withColumn("mark", F.xxhash64("text")).dropDuplicates(["doc_id", "mark"])
-    return _without(kept, again).unionByName(repeated.select(*docs.columns))
+    # the columns of documents lie in a struct, so that no name clashes
+    repeated = kept.join(again, "doc_id", "left_semi").select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", F.xxhash64("text").alias("mark"))
+    once = repeated.dropDuplicates(["doc_id", "mark"]).select("row.*")
+    return _without(kept, again).unionByName(once.select(*(F.col(f"`{c}`") for c in docs.columns)))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,5 +80,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with scratch() as tables:  # what the stage writes on its way goes when its result is written
+            result = materialize(stage(spark, docs, sf_dir), name)
+            tables.keep(result)
+        discard(docs)
+        docs = result
     return docs
