@@ -3,11 +3,11 @@ from __future__ import annotations
 import pytest
 
 #: Rows that every operator must take: nulls, blanks, repeats, clashing names, one very long text.
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, id string, key int, luck double, part string, n_lines int, size int, bucket int"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, id string, key int, luck double, part string, n_lines int, size int, bucket int, mark int, __rest string, __gone int, __words int, row int, places int, name string, turn int, copies int, own_id int, chunk int, e int, kind int, g int, groups string, url string, host string"
 
 
 def document(doc_id, text, lang="en", source="s1"):
-    return (doc_id, text, lang, source, None, "x", 1, 0.5, None, 3, 9, 2)
+    return (doc_id, text, lang, source, None, "x", 1, 0.5, None, 3, 9, 2, 7, "r", 4, 5, 6, 1, "n", 2, 3, 8, 1, 2, 3, 4, "gs", "u", "h")
 
 
 @pytest.fixture(scope="session")

@@ -305,9 +305,29 @@ def test_templates(spark):
     assert got[10]["text"] is None and got[11]["text"] == "" and got[0]["d_mark"] == 5
 
 
+def rest_of(row):
+    """What must pass through: all but the text and the counts."""
+    return repr(sorted((k, v) for k, v in row.asDict().items() if k not in ("text", "n_lines", "n_dropped")))
+
+
+def test_a_line_of_two_documents_goes_at_the_usual_settings(spark):
+    texts = ["own a b c\nThe shared line of two\nown d", "first x\n The  shared line of two \nlast y", "call 555 now\nq", "call 555 now\nr", "call 777 now\ns", "a alone\na alone"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = by_id(line_dedup.drop_recurring_lines(docs))
+    assert [got[k]["text"] for k in range(6)] == ["own a b c\nown d", "first x\nlast y", "q", "r", "call 777 now\ns", "a alone\na alone"]
+
+
+def test_many_dropped_lines_of_one_document(spark):
+    lines = [f"line {WORDS[k % 48]} {WORDS[k // 48 % 48]} {WORDS[k // 2304 % 48]}" for k in range(20_000)]
+    docs = spark.createDataFrame([(1, "\n".join(["top", *lines, "end"])), (2, "\n".join(["start", *lines]))], "doc_id bigint, text string")
+    got = by_id(line_dedup.drop_recurring_lines(docs))
+    assert (got[1]["text"], got[2]["text"], got[1]["n_dropped"]) == ("top\nend", "start", 20_000)
+
+
 def test_lines_of_odd_rows(odd_rows, no_rows):
     got = line_dedup.drop_recurring_lines(odd_rows, least=3)
-    assert got.count() == odd_rows.count()
+    assert got.count() == odd_rows.count() and got.columns == [*(c for c in odd_rows.columns if c != "n_lines"), "n_lines", "n_dropped"]
+    assert sorted(map(rest_of, got.collect())) == sorted(map(rest_of, odd_rows.collect()))
     assert {r["text"] for r in got.where("doc_id in (5, 6, 10)").collect()} == {""}
     assert line_dedup.drop_recurring_lines(no_rows).count() == 0
 
@@ -447,11 +467,26 @@ def test_mix_meets_targets(spark):
         assert r["source_size"] == sizes[r["source"]] and abs(r["target"] - want[r["source"]]) < 1e-6 * max(1, want[r["source"]]) and 0 <= r["copies"] <= 3
         taken[r["source"]] += r["copies"] * r["size"]
     assert all(abs(taken[s] - want[s]) <= max(3, 0.01 * want[s]) for s in sizes)
+    assert all(r["copies"] <= 3 for r in found if not r["size"])
     mixed = mixing.mixed_documents(docs, got)
     counts = collections.Counter(r["doc_id"] for r in mixed.collect())
     assert all(counts[r["doc_id"]] == r["copies"] for r in found) and mixed.columns == docs.columns
 
 
+def test_copies_of_empty_documents(spark):
+    rows = [(k, "", "a") for k in range(6)] + [(10, "x y", "a"), (11, " ".join(["w"] * 400), "b"), (12, None, "c")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = by_id(mixing.mix(docs))
+    assert max(r["copies"] for r in got.values()) <= 3 and got[10]["copies"] == 3 and got[12]["copies"] == 0
+    far = by_id(mixing.mix(docs, broadcast_sources=0))
+    assert {k: tuple(r) for k, r in far.items()} == {k: tuple(r) for k, r in got.items()}
+
+
+def test_mixed_rows_are_the_documents_rows(odd_rows):
+    mixed = mixing.mixed_documents(odd_rows, mixing.mix(odd_rows))
+    assert {repr(r) for r in mixed.collect()} <= {repr(r) for r in odd_rows.collect()} and mixed.count() > 0
+
+
 def test_mix_of_odd_rows(odd_rows, no_rows):
     got = mixing.mix(odd_rows)
     assert got.count() == odd_rows.count()

@@ -30,6 +30,28 @@ def test_near_duplicates_leave_one_row_of_each_group(spark):
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got.collect()) == [(False, 2), (False, 4), (True, 0), (True, 0)]
 
 
+def test_stages_pass_columns_of_any_name(spark, odd_rows, odd_labels, tmp_path):
+    """Repeated ids and clashing names: what a stage returns are rows of what it took."""
+    odd_labels.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "nothing of this is there")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    here = {repr(r) for r in odd_rows.collect()}
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, odd_rows, str(tmp_path))
+        assert got.columns == odd_rows.columns and {repr(r) for r in got.collect()} <= here
+
+
+def test_run_leaves_one_table(spark):
+    import os
+
+    from stridemap.session import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    assert corpus_pipeline.run(spark, SMALL).count() > 0
+    left = {x for x in set(os.listdir(folder)) - before if not x.startswith("tokens-")}
+    assert len(left) == 1
+
+
 def test_copies_with_an_added_block_go(spark):
     base = [f"w{k}" for k in range(500)]
     longer, least, apart = ([*base, *(f"{mark}{k}" for k in range(n))] for mark, n in (("x", 110), ("y", 124), ("z", 125)))  # five-word similarity 0.818, 0.8 and below
