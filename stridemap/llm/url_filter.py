@@ -5,17 +5,19 @@ end; without :// both are empty. A rule is a host and a path prefix; it fits the
 subdomains if the path starts with the prefix, and the longest one that fits decides.
 
 Template tree. A path's segments hang below their host. A segment with a digit is a wildcard, and so are all
-children of a node with more than `most_branches` different ones, level by level from the top. So each page
+children of a node with more than `most_branches` different ones, from the top down, whatever the depth. So each page
 has a template. Branches of a node (templates that differ in their last literal segment only) are
 merged with their labelled siblings if their share of blocked pages is not apart from that of all siblings
 together by more than `apart` standard errors; a merged branch has the counts of all that
 merged. A template is rejected if its purity, the share of blocked among labelled pages smoothed by `smoothing`
-pages of the global share (or of one half, if that is less), is `reject_at` or more; so a template without labels is allowed. Labels are given for some pages; the query's are the rules' own verdicts.
+pages of the global share (or of one half, if that is less), is `reject_at` or more; so a template without labels is allowed. Labels
+are given for some pages (`label_col`); a page without one has the verdict of its rule, if any, as its label.
 
 Paths are counted by host and masked segments before the tree is built, so a hot host
-is a few rows there. Cases: a null url, or one without ://, has empty host and path, no rule and the template of an empty path;
-repeated rows are judged alike, and each counts; an empty table gives no rows; other columns are not read. Segments below
-`depth` levels are one wildcard.
+is a few rows there. In each turn every path is opened at its topmost wide node; there are as many turns as wide nodes
+lie above each other. Cases: a null url, or one without ://, has empty host and path, no rule and the template of an empty path;
+repeated rows are judged alike, and each counts; other values than block and allow are no labels; an empty table gives no rows; other
+columns are not read. A path may have any number of segments (the work for one of n is n * n).
 """
 
 from __future__ import annotations
@@ -56,36 +58,35 @@ def rule_of(host: Column, path: Column, rules: tuple) -> tuple[Column, Column]:
     return name, verdict
 
 
-def masked_segments(path: Column, depth: int) -> Column:
+def masked_segments(path: Column) -> Column:
     parts = F.array_remove(F.split(path, "/"), "")
-    masked = F.transform(parts, lambda s: F.when(s.rlike("[0-9]"), F.lit(WILD)).otherwise(s))
-    return F.when(F.size(masked) > depth, F.concat(F.slice(masked, 1, depth), F.array(F.lit(WILD)))).otherwise(masked)
+    return F.transform(parts, lambda s: F.when(s.rlike("[0-9]"), F.lit(WILD)).otherwise(s))
 
 
-def template_tree(paths: DataFrame, depth: int, most_branches: int) -> DataFrame:
+def template_tree(paths: DataFrame, most_branches: int) -> DataFrame:
     """Rows (host, segments) with their template: wide nodes become wildcards from the top down."""
     tree = paths.select("host", "segments", F.col("segments").alias("template"))
-    deepest = paths.agg(F.max(F.size("segments")).alias("n")).first()["n"] or 0
-    for level in range(min(depth, deepest)):
-        start = F.slice("template", 1, level) if level else F.array().cast("array<string>")
-        here = tree.where(F.size("template") > level).select("host", start.alias("node"), F.col("template")[level].alias("segment")).distinct()
-        wide = here.groupBy("host", "node").agg(F.count("*").alias("n")).where(F.col("n") > most_branches).select("host", "node", F.lit(True).alias("wide"))
-        wide = materialize(wide, "wide")
+    step = lambda k: F.struct(k.alias("level"), F.xxhash64(F.slice("template", F.lit(1), k)).alias("node"), F.get("template", k).alias("segment"))
+    while True:
+        steps = F.transform(F.sequence(F.lit(0), F.size("template") - 1), step)
+        nodes = tree.where(F.size("template") > 0).select("host", "segments", F.explode(steps).alias("s")).select("host", "segments", "s.*")
+        wide = nodes.select("host", "level", "node", "segment").distinct().groupBy("host", "level", "node").agg(F.count("*").alias("n"))
+        wide = materialize(wide.where(F.col("n") > most_branches).select("host", "level", "node"), "wide")
         if wide.limit(1).count() == 0:
-            continue
-        opened = F.concat(start, F.array(F.lit(WILD)), F.slice("template", level + 2, depth + 1))
-        tree = tree.withColumn("node", start).join(wide, ["host", "node"], "left")
-        tree = materialize(tree.select("host", "segments", F.when(F.col("wide") & (F.size("template") > level), opened).otherwise(F.col("template")).alias("template")), "tree")
-    return tree
+            return tree
+        top = nodes.join(wide, ["host", "level", "node"], "left_semi").groupBy("host", "segments").agg(F.min("level").alias("top"))
+        opened = F.transform("template", lambda s, k: F.when(k == F.col("top"), F.lit(WILD)).otherwise(s))
+        tree = tree.join(top, ["host", "segments"], "left").select("host", "segments", F.when(F.col("top").isNull(), F.col("template")).otherwise(opened).alias("template"))
+        tree = materialize(tree, "tree")
 
 
-def template_purity(paths: DataFrame, depth: int, most_branches: int, apart: float, smoothing: float) -> DataFrame:
+def template_purity(paths: DataFrame, most_branches: int, apart: float, smoothing: float) -> DataFrame:
     """(host, segments, template, purity) of rows (host, segments, n, n_labelled, n_blocked)."""
-    tree = template_tree(paths, depth, most_branches).join(paths, ["host", "segments"])
+    tree = template_tree(paths, most_branches).join(paths, ["host", "segments"])
     total = paths.agg(F.coalesce(F.sum("n_labelled"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_blocked"), F.lit(0)).alias("k")).first()
     prior = min(0.5, (total["k"] + 0.5) / (total["n"] + 1.0))
     nodes = tree.groupBy("host", "template").agg(F.sum("n_labelled").alias("n"), F.sum("n_blocked").alias("k"))
-    # siblings: alike up to the last literal segment
+    # siblings: alike but for the last literal segment
     last = F.array_max(F.transform("template", lambda s, i: F.when(s != WILD, i).otherwise(F.lit(-1))))
     family = F.transform("template", lambda s, i: F.when(i == F.col("last"), F.lit(None).cast("string")).otherwise(s))
     nodes = materialize(nodes.withColumn("last", last).withColumn("family", family).drop("last"), "nodes")
@@ -109,7 +110,6 @@ def filter_urls(
     url_col: str = "url",
     label_col: str | None = None,
     rules: tuple = RULES,
-    depth: int = 6,
     most_branches: int = 24,
     apart: float = 2.0,
     smoothing: float = 4.0,
@@ -117,15 +117,15 @@ def filter_urls(
 ) -> DataFrame:
     """One row for each page: id, host, path, rule, template, purity, verdict.
 
-    label_col, if given, holds 'block' or 'allow' for some pages; by default the rules' verdicts are the labels.
+    label_col, if given, holds 'block' or 'allow' for some pages; the rules' verdicts are the labels of the others.
     """
     url = F.col(url_col).cast("string")
     rows = pages.select(F.col(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"), *([F.col(label_col).alias("given")] if label_col else []))
     rule, says = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumns({"rule": rule, "says": says, "segments": masked_segments(F.col("path"), depth)})
-    label = F.col("given") if label_col else F.col("says")
+    rows = rows.withColumns({"rule": rule, "says": says, "segments": masked_segments(F.col("path"))})
+    label = F.coalesce(F.when(F.col("given").isin("block", "allow"), F.col("given")), F.col("says")) if label_col else F.col("says")
     counts = rows.groupBy("host", "segments").agg(F.count("*").alias("n"), F.count(label).alias("n_labelled"), F.count_if(label == "block").alias("n_blocked"))
-    purity = materialize(template_purity(materialize(counts, "paths"), depth, most_branches, apart, smoothing), "purity")
+    purity = materialize(template_purity(materialize(counts, "paths"), most_branches, apart, smoothing), "purity")
     judged = rows.join(purity, ["host", "segments"])
     verdict = F.coalesce("says", F.when(F.col("purity") >= reject_at, F.lit("block")).otherwise(F.lit("allow")))
     return judged.select(F.col("id").alias(id_col), "host", "path", "rule", F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), "purity", verdict.alias("verdict"))

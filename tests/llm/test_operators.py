@@ -433,6 +433,21 @@ def test_templates_are_judged_by_purity(spark):
     assert url_filter.filter_urls(pages.where("false")).count() == 0
 
 
+def test_deep_paths_and_nested_wide_nodes(spark):
+    urls = [f"http://h.org/{WORDS[k]}/mid/{WORDS[(k * 7 + j) % 48]}/end" for k in range(30) for j in range(3)] + ["http://h.org/" + "/".join(f"s{'x' * (k % 5)}" for k in range(2000)), "http://h.org/a//b/"]
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id bigint, url string")
+    got = by_id(url_filter.filter_urls(pages, most_branches=20), "page_id")
+    assert {got[k]["template"] for k in range(90)} == {"/*/mid/*/end"}
+    assert got[90]["template"].count("/") == 2000 and got[91]["template"] == "/*/b"
+
+
+def test_query_labels_reach_pages_without_rules(spark):
+    from stridemap.llm.queries import op6_url_filter
+
+    got = op6_url_filter(spark, "/root/testdata/sf0.1").where("rule is null")
+    assert got.where("verdict = 'block'").count() > 0 and got.where("verdict = 'allow'").count() > 100
+
+
 # ---- mixing ---------------------------------------------------------------------------------------------------------
 
 

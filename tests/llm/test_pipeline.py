@@ -75,7 +75,7 @@ def test_query_equals_sql(spark, name):
     from stridemap.llm.queries import ORACLES, QUERIES
 
     connection = duckdb.connect()
-    for table in ("documents", "benchmark", "pages"):
+    for table in ("documents", "benchmark", "pages", "labels"):
         connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SMALL}/{table}.parquet'")
     frame = QUERIES[name](spark, SMALL)
     columns = sorted(frame.columns)
