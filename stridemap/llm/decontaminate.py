@@ -9,8 +9,11 @@ phrase contains. Its suffix array gives a Burrows-Wheeler transform, held as a w
 All phrases are searched backwards at once; occurrences are located by walking to suffix
 positions sampled at every 16th place and at run starts, and overlapping ones merge to spans.
 
-The phrases are the query set. They are taken in blocks of bounded size (`block_bytes`), each
-one sent to the executors; documents stay where they are: there is no shuffle.
+The index of a shard covers the words that the phrases have, and the separators; words that no phrase has are not in it.
+
+The phrases are the query set. They are taken in blocks of at most `block_bytes` of text (an item is never cut). One block is searched in one pass over
+the documents, which stay where they are: there is no shuffle. Further blocks are a pass each: the driver makes one block, the
+executors hold that one alone, and its hits are written before the next is made; at the end the hits of each document are merged.
 
 Cases: null or empty text has no words and no hits; repeated rows are judged alike; an item
 without words is in no document; an empty benchmark hits nothing; a benchmark item_id that
@@ -25,10 +28,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stridemap.llm import wordscan
+from stridemap.session import materialize
 
 SAMPLE = 16
 
@@ -162,21 +167,15 @@ class FMIndex:
         return self.positions[self.sampled_before[at]] + moved
 
 
-def search_shard(data: np.ndarray, offsets: np.ndarray, blocks: list[PhraseSet]) -> dict:
-    """Judge a run of documents: words, hit words, items and merged byte spans for each."""
+def search_shard(data: np.ndarray, offsets: np.ndarray, phrases: PhraseSet) -> dict:
+    """Judge a run of documents: words, hit words, items and merged spans (in words and bytes) for each."""
     n_docs = len(offsets) - 1
     mapped, starts, ends, first = wordscan.words(data, offsets, wordscan.alnum_table())
     n_words = len(starts)
-    found = wordscan.word_array(mapped, starts, ends)
     change = np.zeros(n_words + 1, np.int64)
-    pairs: list[tuple[np.ndarray, np.ndarray]] = []
-    base = 0
-    names: list[str] = []
-    for phrases in blocks:
-        names += phrases.names
-        base, own_base = base + len(phrases.names), base
-        if not len(phrases.lengths) or not n_words:
-            continue
+    items: dict[int, set[str]] = {}
+    if len(phrases.lengths) and n_words:
+        found = wordscan.word_array(mapped, starts, ends)
         ids = pc.index_in(found, phrases.vocabulary).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
         # a separator before the first word of each document, then one for each run of other words
         symbols = np.insert(ids, first[:-1], 0)
@@ -193,17 +192,11 @@ def search_shard(data: np.ndarray, offsets: np.ndarray, blocks: list[PhraseSet])
         np.add.at(change, word, 1)
         np.add.at(change, word + phrases.lengths[which], -1)
         doc = np.searchsorted(first, word, "right") - 1
-        n_owner = phrases.owner_first[which + 1] - phrases.owner_first[which]
-        each = np.repeat(np.arange(len(which)), n_owner)
-        owner = phrases.owners[np.arange(len(each)) - np.repeat(np.cumsum(n_owner) - n_owner, n_owner) + phrases.owner_first[which[each]]]
-        pairs.append((doc[each], owner + own_base))
+        for d, k in np.unique(np.stack((doc, which)), axis=1).T.tolist():
+            own = phrases.owners[phrases.owner_first[k] : phrases.owner_first[k + 1]].tolist()
+            items.setdefault(d, set()).update(phrases.names[x] for x in own)
     hit = np.cumsum(change[:-1]) > 0
     total = np.concatenate(([0], np.cumsum(hit)))
-    items: dict[int, list[str]] = {}
-    if pairs:
-        both = np.unique(np.stack([np.concatenate([p[k] for p in pairs]) for k in (0, 1)]), axis=1)
-        for d, i in both.T.tolist():
-            items.setdefault(d, []).append(names[i])
     at_start = hit.copy()
     at_start[1:] &= ~hit[:-1]
     at_end = hit.copy()
@@ -215,17 +208,30 @@ def search_shard(data: np.ndarray, offsets: np.ndarray, blocks: list[PhraseSet])
     span_first, span_last = np.flatnonzero(at_start), np.flatnonzero(at_end)
     span_doc = np.searchsorted(first, span_first, "right") - 1
     spans: dict[int, list[dict]] = {}
-    for d, a, b in zip(span_doc.tolist(), starts[span_first].tolist(), ends[span_last].tolist(), strict=True):
-        spans.setdefault(d, []).append({"start": a - int(offsets[d]), "end": b - int(offsets[d])})
+    for d, u, v, a, b in zip(span_doc.tolist(), span_first.tolist(), span_last.tolist(), starts[span_first].tolist(), ends[span_last].tolist(), strict=True):
+        spans.setdefault(d, []).append({"start": a - int(offsets[d]), "end": b - int(offsets[d]), "first": u - int(first[d]), "last": v - int(first[d])})
     return {
         "n_words": np.diff(first),
         "n_hit": total[first[1:]] - total[first[:-1]],
-        "items": [sorted(set(items.get(d, ()))) for d in range(n_docs)],
+        "items": [sorted(items.get(d, ())) for d in range(n_docs)],
         "spans": [spans.get(d, []) for d in range(n_docs)],
     }
 
 
-SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+def merged_spans(spans: list[dict]) -> list[dict]:
+    """Spans of one document as few as they can be: those that share a word or stand side by side become one."""
+    out: list[dict] = []
+    for s in sorted(spans, key=lambda s: s["first"]):
+        if out and s["first"] <= out[-1]["last"] + 1:
+            if s["last"] > out[-1]["last"]:
+                out[-1] |= {"last": s["last"], "end": s["end"]}
+        else:
+            out.append(dict(s))
+    return out
+
+
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("first", pa.int64()), ("last", pa.int64())]))
+SPAN_TYPE = "array<struct<start:bigint,end:bigint,first:bigint,last:bigint>>"
 
 
 def phrase_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_bytes: int) -> Iterator[PhraseSet]:
@@ -261,21 +267,65 @@ def find_contamination(
     block_bytes: int = 4 << 20,
 ) -> DataFrame:
     """One row for each document: id, n_words, n_hit, items (sorted strings) and spans, the merged
-    removal spans as [start, end) in bytes of the UTF-8 text."""
-    spark = docs.sparkSession
-    wordscan.bound_batches(spark)
-    blocks = [spark.sparkContext.broadcast(b) for b in phrase_blocks(benchmark, item_col, item_text_col, window, block_bytes)]
+    removal spans as [start, end) in bytes of the UTF-8 text, with their first and last word."""
+    wordscan.bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    blocks = phrase_blocks(benchmark, item_col, item_text_col, window, block_bytes)
+    block = next(blocks, None) or PhraseSet([], window)
+    following = next(blocks, None)
+    if following is None:
+        found, _ = searched(rows, block, shard_bytes)
+        return found.drop("mark").withColumnRenamed("id", id_col)
+    # several blocks: what each finds is written, and no executor holds two
+    marked = rows.withColumn("mark", F.xxhash64("text"))
+    parts: list[DataFrame] = []
+    while block is not None:
+        found, sent = searched(marked, block, shard_bytes)
+        if not parts:  # the first pass also counts the words of all documents
+            parts.append(materialize(found, "found"))
+        else:
+            parts.append(materialize(found.where("n_hit > 0"), "found"))
+        sent.destroy()
+        block, following = following, next(blocks, None)
+    hits = parts[0].where("n_hit > 0")
+    for part in parts[1:]:
+        hits = hits.unionByName(part)
+    # rows of one id and text are alike, so this pair is a key; null ids and texts are values of it
+    key = [F.coalesce(F.col("id").cast("string"), F.lit("")).alias("name"), F.col("id").isNull().alias("unnamed"), "mark"]
+    own = hits.select(*key, "items", "spans").groupBy("name", "unnamed", "mark").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("all_items"), F.array_distinct(F.flatten(F.collect_list("spans"))).alias("all_spans"))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [merged_spans(x) for x in batch.column("all_spans").to_pylist()]
+            hit = [sum(s["last"] - s["first"] + 1 for s in x) for x in spans]
+            kept = [batch.column(c) for c in ("name", "unnamed", "mark", "all_items")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(spans, SPANS), pa.array(hit, pa.int64())], names=["name", "unnamed", "mark", "all_items", "all_spans", "all_hit"])
+
+    own = own.mapInArrow(merge, f"name string, unnamed boolean, mark bigint, all_items array<string>, all_spans {SPAN_TYPE}, all_hit bigint")
+    base = parts[0].select("id", "n_words", *key)
+    return base.join(own, ["name", "unnamed", "mark"], "left").select(
+        F.col("id").alias(id_col),
+        "n_words",
+        F.coalesce("all_hit", F.lit(0).cast("bigint")).alias("n_hit"),
+        F.coalesce("all_items", F.array().cast("array<string>")).alias("items"),
+        F.coalesce("all_spans", F.array().cast(SPAN_TYPE)).alias("spans"),
+    )
+
+
+def searched(rows: DataFrame, block: PhraseSet, shard_bytes: int) -> tuple[DataFrame, Broadcast]:
+    """(id, mark, n_words, n_hit, items, spans) of rows (id, text, perhaps mark) for one block, and what was sent for it."""
+    sent = rows.sparkSession.sparkContext.broadcast(block)
+    has_mark = "mark" in rows.columns
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = [b.value for b in blocks]
+        phrases = sent.value
         for batch in wordscan.slices(batches, "text", shard_bytes):
             out = search_shard(*wordscan.utf8(batch.column("text")), phrases)
+            mark = batch.column("mark") if has_mark else pa.nulls(batch.num_rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(out["n_words"], pa.int64()), pa.array(out["n_hit"], pa.int64()), pa.array(out["items"], pa.list_(pa.string())), pa.array(out["spans"], SPANS)],
-                names=["id", "n_words", "n_hit", "items", "spans"],
+                [batch.column("id"), mark, pa.array(out["n_words"], pa.int64()), pa.array(out["n_hit"], pa.int64()), pa.array(out["items"], pa.list_(pa.string())), pa.array(out["spans"], SPANS)],
+                names=["id", "mark", "n_words", "n_hit", "items", "spans"],
             )
 
     kind = rows.schema["id"].dataType.simpleString()
-    found = rows.mapInArrow(judge, f"id {kind}, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,end:bigint>>")
-    return found.withColumnRenamed("id", id_col)
+    return rows.mapInArrow(judge, f"id {kind}, mark bigint, n_words bigint, n_hit bigint, items array<string>, spans {SPAN_TYPE}"), sent
