@@ -14,15 +14,22 @@ def _local(uri: str) -> str | None:
     return None
 
 
+def _system(uri: str):
+    """pyarrow's file system for an address. Hadoop's names of object stores are those of pyarrow with another scheme."""
+    from pyarrow import fs
+
+    scheme, rest = uri.split("://", 1) if "://" in uri else ("", uri)
+    known = {"s3a": "s3", "s3n": "s3", "gs": "gs", "abfss": "abfs"}
+    return fs.FileSystem.from_uri(f"{known.get(scheme, scheme)}://{rest}" if scheme else uri)
+
+
 def open_write(uri: str) -> BinaryIO:
     """Create a file (and, on file systems with folders, its folder)."""
     path = _local(uri)
     if path is not None:
         os.makedirs(os.path.dirname(path), exist_ok=True)
         return open(path, "wb")
-    from pyarrow import fs
-
-    system, path = fs.FileSystem.from_uri(uri)
+    system, path = _system(uri)
     system.create_dir(os.path.dirname(path), recursive=True)
     return system.open_output_stream(path)
 
@@ -32,7 +39,5 @@ def open_read(uri: str) -> BinaryIO:
     path = _local(uri)
     if path is not None:
         return open(path, "rb")
-    from pyarrow import fs
-
-    system, path = fs.FileSystem.from_uri(uri)
+    system, path = _system(uri)
     return system.open_input_file(path)

@@ -8,8 +8,8 @@ manifest (a table in the shared folder) says which files count, so a repeated ta
 
 The tokenizer splits at white space, so texts are encoded by distinct words: words between
 space, tab, line feed and carriage return are looked up in a bounded cache and only new ones go
-through the library. (check_white_space() tests that the tokenizer file allows this; else
-whole texts are encoded.)
+through the library. Only a tokenizer file with exactly the steps STEPS allows this; with any other file
+whole texts are encoded.
 
 Cases: null or empty text has the end id only; a null id sorts first; repeated rows are
 repeated entries, in order of their text; an empty table gives no shard and no rows. Integer
@@ -186,18 +186,27 @@ class WordEncoder:
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+#: The steps before the model that piece_bounds() repeats, in this order.
+STEPS = [
+    {"type": "NFC"},
+    {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+    {"type": "Lowercase"},
+    {"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False},
+]
+
+
 def check_white_space(tokenizer) -> bool:
-    """Does encoding a text equal encoding its words between white space, one by one, with the pieces of SPLIT?"""
+    """Does encoding a text equal encoding its words between white space, one by one, with the pieces of SPLIT? Only if the
+    file has exactly STEPS before its model and no added token that plain words could be part of."""
     import json
 
     spec = json.loads(tokenizer.to_str())
     parts = [spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}]
     flat = [x for p in parts for x in (p.get("normalizers") or p.get("pretokenizers") or [p])]
-    kinds = {x.get("type") for x in flat}
-    splits = [x for x in flat if x.get("type") == "Split"]
-    drops = len(splits) == 1 and all(x.get("behavior") == "Removed" and x.get("invert") and x["pattern"].get("Regex") == SPLIT for x in splits)
+    same = len(flat) == len(STEPS) and all(want == {k: got.get(k) for k in want} for want, got in zip(STEPS, flat, strict=True))
     whole = not any(t.get("lstrip") or t.get("rstrip") or any(c.isspace() for c in t["content"]) or "<" not in t["content"] for t in spec.get("added_tokens", []))
-    return drops and whole and kinds <= {"NFC", "Replace", "Lowercase", "Split", "ByteLevel"}
+    return same and whole and not spec.get("truncation") and not spec.get("padding")
 
 
 @lru_cache(maxsize=2)
