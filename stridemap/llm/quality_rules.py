@@ -9,11 +9,14 @@ than `least_words` words, or with more than `most_repeats` percent of its words
 The others are judged by the minimum covariance determinant: for each language and source,
 the location and scatter of those `support` of the documents whose scatter has the least determinant
 describe the bulk; a document whose squared Mahalanobis distance from it, on transformed
-statistics, exceeds a chi-square quantile is an outlier. The estimate starts from medians and
-absolute deviations and takes concentration steps, which never raise the determinant: distances of all rows, the
-`support` quantile of each group from a histogram, moments of the rows below it. Each step is one
+statistics, exceeds the chi-square quantile of 1 - `tail` is an outlier. There are two starts: medians with quartile ranges, and mean with
+covariance of all documents of the group. From each, concentration steps go on until one lowers the determinant by less than `tolerance` of its
+logarithm's unit: distances of all rows, the `support` quantile of each group from a histogram of 64 bins for each doubling, moments of the
+rows up to that bin. (A bin is taken whole, so a step's support may be some rows more than the last one's; a step that would raise the determinant is not
+taken.) Of the two ends the one with the lesser determinant counts. Each step is one
 grouped aggregation of all rows with partial sums, by group and histogram bin, so a hot source is no hot task; the
-estimates are a small table. Distances are scaled so that their median is that of a chi-square variable.
+estimates are a small table, broadcast up to `broadcast_groups` rows and joined by a shuffle beyond. Distances are scaled so that their median is
+that of a chi-square variable, if it is more.
 A group of fewer than `least_group` documents takes its language's estimate, and a language of
 fewer than that the estimate of all documents. Each statistic's scatter has a floor, so a statistic that is
 constant in the bulk doesn't reject every deviation from it.
@@ -33,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stridemap.llm import wordscan
-from stridemap.session import materialize
+from stridemap.session import materialize, materialize_counted
 
 SYMBOLS = b"#*$%&|<>"
 #: Transformed statistics, and the least standard deviation that each is taken to have.
@@ -145,7 +148,7 @@ def chi_square_quantile(p: float, d: int) -> float:
 
 
 #: Histogram bins of squared distances: this many for each doubling.
-FINE = 16
+FINE = 64
 
 
 def _bin(distance: Column) -> Column:
@@ -158,9 +161,11 @@ def _moments(names: list[str]) -> list[Column]:
 
 
 def _fit(names: list[str], floors: list[float]):
-    """A function from rows of moments to rows of location and inverse Cholesky factor (mapInPandas)."""
+    """A function from rows of moments to rows of location, inverse Cholesky factor and log determinant (mapInPandas)."""
 
     def fit(frames):
+        import pandas as pd
+
         d = len(names)
         for frame in frames:
             out = []
@@ -178,15 +183,15 @@ def _fit(names: list[str], floors: list[float]):
                         low = np.linalg.cholesky(scatter)
                     except np.linalg.LinAlgError:  # rounding: widen the diagonal
                         scatter += np.diag(np.square(floors)) * 0.1
-                out.append({"level": row["level"], "g": row["g"], "size": row["size"], "mean": mean.tolist(), "factor": np.linalg.inv(low).ravel().tolist()})
-            import pandas as pd
-
-            yield pd.DataFrame(out, columns=["level", "g", "size", "mean", "factor"])
+                out.append({k: row[k] for k in KEY} | {"mean": mean.tolist(), "factor": np.linalg.inv(low).ravel().tolist(), "log_det": float(2 * np.log(np.diag(low)).sum())})
+            yield pd.DataFrame(out, columns=[*KEY, "mean", "factor", "log_det"])
 
     return fit
 
 
-ESTIMATE = "level int, g string, size bigint, mean array<double>, factor array<double>"
+#: A group's estimate from one start: level of the group, its name, start, documents.
+KEY = ["level", "g", "start", "size"]
+ESTIMATE = "level int, g string, start int, size bigint, mean array<double>, factor array<double>, log_det double"
 
 
 def distance(names: list[str]) -> Column:
@@ -204,8 +209,8 @@ def _groups() -> Column:
     return F.array(F.concat(text("k0"), F.lit("/"), text("k1")), text("k0"), F.lit("*"))
 
 
-def robust_estimates(rows: DataFrame, names: list[str], support: float, steps: int, least_group: int) -> DataFrame:
-    """(g, mean, factor, scale) for the groups of rows, by the group at level 0 that rows carry in column groups[0]."""
+def robust_estimates(rows: DataFrame, names: list[str], support: float, tolerance: float, least_group: int, broadcast_groups: int = 20_000) -> DataFrame:
+    """(level, g, size, mean, factor, log_det, scale, steps) for the groups of rows, whose column groups has their names by level."""
     floors = [VECTOR[n] for n in names]
     levels = materialize(
         rows.groupBy("groups").agg(F.count("*").alias("n"))
@@ -213,28 +218,41 @@ def robust_estimates(rows: DataFrame, names: list[str], support: float, steps: i
         "groups",
     )
     # a group that is too small is not estimated at its own level
-    used = levels.where((F.col("size") >= least_group) | (F.col("level") == 2)).select("level", "g", "size")
+    used = materialize(levels.where((F.col("size") >= least_group) | (F.col("level") == 2)).select("level", "g", "size"), "used")
+    near = F.broadcast if 2 * used.count() <= broadcast_groups else (lambda df: df)
     leveled = rows.select(*names, F.posexplode("groups").alias("level", "g"))
     quantile = lambda c, p: F.percentile_approx(c, F.lit(p), F.lit(1000))
     centre = leveled.groupBy("level", "g").agg(*(quantile(c, 0.5).alias(f"m_{c}") for c in names), *(quantile(c, 0.75).alias(f"u_{c}") for c in names), *(quantile(c, 0.25).alias(f"l_{c}") for c in names))
     spread = [F.greatest((F.col(f"u_{c}") - F.col(f"l_{c}")) / 1.349, F.lit(f)) for c, f in zip(names, floors, strict=True)]
     d = len(names)
-    state = centre.join(used, ["level", "g"]).select("level", "g", "size", F.array(*(F.col(f"m_{c}") for c in names)).alias("mean"), F.array(*(1 / spread[i] if i == j else F.lit(0.0) for i in range(d) for j in range(d))).alias("factor"))
-    state = materialize(state, "estimates")
     fit = _fit(names, floors)
-    along = Window.partitionBy("level", "g").orderBy("bin")
-    for _ in range(steps):
-        near = leveled.join(state, ["level", "g"]).withColumn("bin", _bin(distance(names)))
-        cells = near.groupBy("level", "g", "size", "bin").agg(*_moments(names))
+    medians = centre.join(used, ["level", "g"]).select("level", "g", F.lit(0).alias("start"), "size", F.array(*(F.col(f"m_{c}") for c in names)).alias("mean"), F.array(*(1 / spread[i] if i == j else F.lit(0.0) for i in range(d) for j in range(d))).alias("factor"), F.lit(float("inf")).alias("log_det"))
+    whole = leveled.groupBy("level", "g").agg(*_moments(names)).join(used, ["level", "g"]).withColumn("start", F.lit(1))
+    state = medians.unionByName(whole.mapInPandas(fit, ESTIMATE).withColumn("log_det", F.lit(float("inf"))))
+    state = materialize(state.withColumn("steps", F.lit(0)).withColumn("live", F.lit(True)), "estimates")
+    along = Window.partitionBy("level", "g", "start").orderBy("bin")
+    while True:
+        live = state.where("live")
+        cells = leveled.join(near(live), ["level", "g"]).withColumn("bin", _bin(distance(names))).groupBy(*KEY, "bin").agg(*_moments(names))
         inner = cells.withColumn("before", F.coalesce(F.sum("n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         inner = inner.where(F.col("before") < F.ceil(F.lit(support) * F.col("size")))
-        summed = [c for c in cells.columns if c not in ("level", "g", "size", "bin")]
-        state = materialize(inner.groupBy("level", "g", "size").agg(*(F.sum(c).alias(c) for c in summed)).mapInPandas(fit, ESTIMATE), "estimates")
+        summed = [c for c in cells.columns if c not in (*KEY, "bin")]
+        found = inner.groupBy(*KEY).agg(*(F.sum(c).alias(c) for c in summed)).mapInPandas(fit, ESTIMATE)
+        found = found.select("level", "g", "start", F.struct("mean", "factor", "log_det").alias("e"))
+        both = state.join(found, ["level", "g", "start"], "left")
+        lower = F.col("live") & F.coalesce(F.col("e.log_det") < F.col("log_det"), F.lit(False))
+        fresh = [F.when(lower, F.col(f"e.{c}")).otherwise(F.col(c)).alias(c) for c in ("mean", "factor", "log_det")]
+        goes_on = lower & (F.col("e.log_det") < F.col("log_det") - tolerance)
+        state, n = materialize_counted(both.select(*KEY, *fresh, (F.col("steps") + F.col("live").cast("int")).alias("steps"), goes_on.alias("live")), "live", "estimates")
+        if n == 0:
+            break
+    best = state.groupBy("level", "g").agg(F.min_by(F.struct("size", F.lit(0).alias("start"), "mean", "factor", "log_det", "steps"), F.struct("log_det", "start")).alias("e")).select("level", "g", "e.*")
+    best = materialize(best, "best")
     # the scale that puts the median distance where a chi-square variable has it
-    cells = leveled.join(state, ["level", "g"]).groupBy("level", "g", "size", _bin(distance(names)).alias("bin")).agg(F.count("*").alias("n"))
+    cells = leveled.join(near(best), ["level", "g"]).groupBy(*KEY, _bin(distance(names)).alias("bin")).agg(F.count("*").alias("n"))
     half = cells.withColumn("upto", F.sum("n").over(along)).where(F.col("upto") >= F.col("size") / 2).groupBy("level", "g").agg(F.min("bin").alias("bin"))
     scale = F.greatest(F.pow(F.lit(2.0), (F.col("bin") + 0.5) / FINE) / chi_square_quantile(0.5, d), F.lit(1.0))
-    return materialize(state.join(half, ["level", "g"]).select("level", "g", "size", "mean", "factor", scale.alias("scale")), "estimates")
+    return materialize(best.join(half, ["level", "g"]).select("level", "g", "size", "mean", "factor", "log_det", "steps", scale.alias("scale")), "estimates")
 
 
 def quality(
@@ -247,9 +265,10 @@ def quality(
     least_words: int = 50,
     most_repeats: int = 50,
     support: float = 0.75,
-    steps: int = 6,
+    tolerance: float = 1e-3,
     least_group: int = 100,
-    tail: float = 1e-5,
+    tail: float = 1e-3,
+    broadcast_groups: int = 20_000,
 ) -> DataFrame:
     """One row for each document: id, the base statistics, base_failed, distance (null if base_failed), kept."""
     names = list(VECTOR)
@@ -257,13 +276,14 @@ def quality(
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeats * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)
     sound = materialize(rows.where(~F.col("base_failed")).select("id", *STATS, *vector(), _groups().alias("groups")), "vectors")
-    found = robust_estimates(sound, names, support, steps, least_group)
+    found = robust_estimates(sound, names, support, tolerance, least_group, broadcast_groups)
     # the estimate of the smallest group that is large enough
     at = sound.select("groups").distinct().select("groups", F.posexplode("groups").alias("level", "g"))
     best = at.join(found, ["level", "g"]).groupBy("groups").agg(F.min_by(F.struct("mean", "factor", "scale"), "level").alias("e"))
-    best = best.select("groups", "e.mean", "e.factor", "e.scale")
+    best = materialize(best.select("groups", "e.mean", "e.factor", "e.scale"), "best")
+    near = F.broadcast if best.count() <= broadcast_groups else (lambda df: df)
     limit = chi_square_quantile(1 - tail, len(names))
-    judged = sound.join(best, "groups").withColumn("distance", distance(names) / F.col("scale"))
+    judged = sound.join(near(best), "groups").withColumn("distance", distance(names) / F.col("scale"))
     judged = judged.select("id", *STATS, F.lit(False).alias("base_failed"), "distance", (F.col("distance") <= limit).alias("kept"))
     refused = rows.where("base_failed").select("id", *STATS, "base_failed", F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"))
     return judged.unionByName(refused).withColumnRenamed("id", id_col)
