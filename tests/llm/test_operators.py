@@ -82,6 +82,41 @@ def test_short_items_repeats_blocks_and_overlaps(spark):
         assert [(got[k]["n_words"], got[k]["n_hit"], got[k]["items"]) for k in range(len(texts))] == want
 
 
+def test_one_block_is_held_at_a_time(spark, monkeypatch):
+    rng = random.Random(6)
+    items = [(k, prose(rng, 14)) for k in range(12)]
+    texts = [prose(rng, 10) + " " + items[k % 12][1] + " " + items[(k + 5) % 12][1] + " " + prose(rng, 10) for k in range(40)] + ["", None]
+    open_, most, send = [], [], spark.sparkContext.broadcast
+
+    class Sent:
+        def __init__(self, value):
+            self.own = send(value)
+            open_.append(self)
+            most.append(len(open_))
+
+        def __getattr__(self, name):
+            return getattr(self.own, name)
+
+        def destroy(self):
+            open_.remove(self)
+            self.own.destroy()
+
+    real = decontaminate.searched
+
+    def searched(rows, block, shard_bytes):
+        found, sent = real(rows, block, shard_bytes)
+        keeper = Sent(None)
+        keeper.own = sent
+        return found, keeper
+
+    monkeypatch.setattr(decontaminate, "searched", searched)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = by_id(decontaminate.find_contamination(docs, spark.createDataFrame(items, "item_id bigint, text string"), block_bytes=100, shard_bytes=3000))
+    want = list(hits(texts, [(str(k), t) for k, t in items]))
+    assert [(got[k]["n_words"], got[k]["n_hit"], got[k]["items"]) for k in range(len(texts))] == want
+    assert len(most) >= 6 and max(most) == 1 and not open_
+
+
 def test_random_sequences_in_the_index():
     rng = np.random.Generator(np.random.PCG64(3))
     for size, alphabet in ((0, 3), (1, 2), (300, 3), (2000, 5), (500, 2)):
@@ -261,6 +296,33 @@ def test_shards_round_trip(spark, small):
         assert table.get(token_output.encode_key(10**12)) == []
 
 
+@pytest.mark.parametrize("change", [
+    lambda n: n["normalizers"].pop(2),  # cased
+    lambda n: n["normalizers"].insert(0, {"type": "Replace", "pattern": {"String": "a"}, "content": "b"}),
+    lambda n: n["normalizers"][1].update(content=""),
+])
+def test_other_normalisers_are_respected(spark, tmp_path, change):
+    import json
+
+    from tokenizers import Tokenizer
+
+    spec = json.loads(open(vocabulary()).read())
+    change(spec["normalizer"])
+    path = str(tmp_path / "other.json")
+    open(path, "w").write(json.dumps(spec))
+    assert not token_output.check_white_space(Tokenizer.from_file(path)) and token_output.check_white_space(Tokenizer.from_file(vocabulary()))
+    rows = [(1, "Hello World, a  banana\nNEW line"), (2, ""), (3, "ÀÉ-Naïve <x> it's")]
+    got = {r["doc_id"]: r["ids_crc32"] for r in token_output.read_shards(token_output.write_shards(spark.createDataFrame(rows, "doc_id bigint, text string"), path)).collect()}
+    tokenizer = Tokenizer.from_file(path)
+    assert got == {k: zlib.crc32(np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()) for k, t in rows}
+
+
+def test_addresses_of_files():
+    from stridemap.llm import storage
+
+    assert storage._local("file:///a%20b") == "/a b" and storage._local("/x") == "/x" and storage._local("s3a://b/k") is None
+
+
 def test_table_blocks_filter_and_repeats(tmp_path):
     path = tmp_path / "t.sst"
     keys = sorted(token_output.encode_key(k) for k in (None, -3, 0, 7, 7, 7, 2**40, *range(100, 400)))
@@ -377,6 +439,81 @@ def test_outliers_are_rejected_and_the_bulk_is_kept(spark):
     assert got[900]["base_failed"] and got[901]["base_failed"] and not got[902]["base_failed"] and got[902]["kept"]
 
 
+def direct_mcd(x, h, starts=200):
+    """The least log determinant of h rows by concentration steps from many random starts, and the place of those rows."""
+    rng, best = np.random.default_rng(0), (np.inf, None)
+    for _ in range(starts):
+        own = rng.choice(len(x), x.shape[1] + 1, replace=False)
+        last = np.inf
+        while True:
+            mean, scatter = x[own].mean(axis=0), np.cov(x[own].T, bias=True) + 1e-9 * np.eye(x.shape[1])
+            own = np.argsort(np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(scatter), x - mean), kind="stable")[:h]
+            now = np.linalg.slogdet(np.cov(x[own].T, bias=True))[1]
+            if now >= last - 1e-9:
+                break
+            last = now
+        if last < best[0]:
+            best = (last, x[own].mean(axis=0))
+    return best
+
+
+def test_estimates_are_those_of_a_direct_search(spark):
+    rng = np.random.default_rng(3)
+    names = list(quality_rules.VECTOR)
+    turn = rng.normal(size=(7, 7)) * 2 + 3 * np.eye(7)
+    bulk = rng.normal(size=(900, 7)) @ turn + 5
+    odd = rng.normal(size=(200, 7)) * 0.5 + np.array([40, -30, 20, 0, 10, -40, 15])  # a tight cluster, which means and covariances follow
+    x = np.concatenate((bulk, odd))
+    rows = spark.createDataFrame([(*map(float, r), ["a", "b", "*"]) for r in x], ", ".join(f"{n} double" for n in names) + ", groups array<string>")
+    got = quality_rules.robust_estimates(rows, names, 0.75, 1e-3, 100).where("level = 0").first()
+    log_det, mean = direct_mcd(x, int(np.ceil(0.75 * len(x))))
+    assert got["log_det"] <= log_det + 0.1 and got["steps"] > 1
+    factor = np.array(got["factor"]).reshape(7, 7)
+    apart = lambda p: ((factor @ (p - np.array(got["mean"])).T) ** 2).sum(axis=0) / got["scale"]
+    limit = quality_rules.chi_square_quantile(0.999, 7)
+    assert apart(mean[None])[0] < 0.05 and (apart(odd) > limit).all() and (apart(bulk) <= limit).mean() > 0.97
+
+
+def test_estimates_joined_by_a_shuffle_are_the_same(spark, small):
+    near, far = (quality_rules.quality(small[0], broadcast_groups=n).select("doc_id", "kept", F.round("distance", 6)).collect() for n in (10**6, 0))
+    assert sorted(map(tuple, near), key=repr) == sorted(map(tuple, far), key=repr)
+
+
+def plain_shares(rows):
+    """Posterior shares of (host, path) by the formulas, level by level."""
+    prior = (sum(g for _, _, g in rows) + 1) / (len(rows) + 2)
+    shares = {}
+    for depth in (1, 2):
+        groups = collections.defaultdict(list)
+        for *keys, g in rows:
+            groups[tuple(keys[:depth])].append(g)
+        parent = {k: prior if depth == 1 else shares[k[:1]] for k in groups}
+        s = sum(len(g) * (sum(g) / len(g) - parent[k]) ** 2 for k, g in groups.items())
+        v = sum(len(g) * parent[k] * (1 - parent[k]) for k, g in groups.items())
+        chance = len(groups) / len(rows)
+        excess = min(max((s / v - chance) / (1 - chance), 1e-4), 1 / 6)
+        m = (1 - excess) / excess
+        shares |= {k: (sum(g) + m * parent[k]) / (len(g) + m) for k, g in groups.items()}
+    return {k: v for k, v in shares.items() if len(k) == 2}
+
+
+def test_posteriors_equal_a_plain_version(spark):
+    rng = random.Random(12)
+    rows = [(h := rng.choice("aaabcdeeeeeee"), h + rng.choice("xxxyz"), rng.choice([0.0, 1.0, 1.0, 0.25]) * (h != "c")) for _ in range(600)]
+    got = quality_classifier.shrunk_shares(spark.createDataFrame(rows, "k0 string, k1 string, good double"), ["k0", "k1"]).collect()
+    want = plain_shares(rows)
+    assert len(got) == len(want) and all(abs(r["share"] - want[r["k0"], r["k1"]]) < 1e-9 for r in got)
+
+
+def test_words_are_evidence_of_quality(spark):
+    rng = random.Random(13)
+    rows = [(k, prose(rng, 40) + (" splendid" if k % 2 else " rubbish") + " " + prose(rng, 40), "s", "en", k % 2) for k in range(500)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string, quality int")
+    got = quality_classifier.classify(frame.drop("quality"), frame.select("doc_id", "quality")).join(frame.select("doc_id", "quality"), "doc_id").where("held_out")
+    right = got.agg(F.avg((F.col("kept").cast("int") == F.col("quality")).cast("int"))).first()[0]
+    assert right >= 0.95
+
+
 def test_quality_of_odd_rows(odd_rows, no_rows, odd_labels):
     got = quality_rules.quality(odd_rows).collect()
     assert len(got) == odd_rows.count() and all(not r["kept"] for r in got if r["base_failed"])
