@@ -9,19 +9,22 @@ A document's set holds its distinct shingles of `k` words (lower-cased A-Z runs
    shares no band with probability 1.2e-5, one at 0.9 with 2e-8.
 3. The MinHash values are folded into an odd sketch: each value flips one of 512 bits. The
    exclusive or of two sketches holds the bits of values that differ; a population count that
-   stands for a similarity far below the threshold (five standard deviations) drops a pair. A second
+   stands for a similarity far below the threshold (seven standard deviations: 1e-12) drops a pair. A second
    sketch folds the set itself: its population count never exceeds the number of shingles that
    only one of the two has, so it drops no linked pair, and for sets of some hundred shingles it drops nearly all others.
 4. What remains is confirmed on the full sets.
 
-No pairs are made within a band's bucket. In each round every bucket with more than one component names hubs, and
-members are compared with hubs of another component only; then hubs leave the bucket, since all their links there are known, and
-components are joined. The first hub is the most central member, the one whose buckets are largest: in a
-group of near copies it is linked with most. Then some members of its component follow, which only
-those outside are compared with, and at last those that are still outside, an eighth of them and then all. Rounds end when no bucket holds
-two components. Links that are not tested lie within a component, so components are those of all links.
+No pairs are made within a band's bucket. In each of four rounds every bucket with more than one component names hubs. The first hub is the most
+central member, the one whose buckets are largest: in a group of near copies it is linked with most. All members are compared with it. Then 4, 16 and
+64 members of its component follow, which only those outside are compared with. Then hubs leave the bucket, since all their links
+there that matter are known, and components are joined: a round's comparisons are the members times a constant.
 
-Ids of candidates are broadcast up to `broadcast_ids` (8 bytes each for whole numbers), and joined by a shuffle beyond.
+What is still in buckets with two components is like others without being linked, such as texts with the same long boilerplate. It is
+joined by prefixes, which is exact: with shingles in a common order, rarest first, two linked sets share a shingle within their first
+n - ceil(t n) + 1, and within the first n - ceil(2 t n / (1 + t)) + 1 of the smaller one. Texts that share boilerplate but are not linked have that many
+shingles of their own, which no other text has, so they meet nothing: the join is in proportion to the members. Lengths and the place of the first common shingle bound the overlap
+before a pair is made, and of each shingle only members outside its most frequent component are joined with the others. (Sets made of the same
+few shingles in many combinations can still make many pairs; that is no band's but the problem's own worst case, and no cap is set on it.)
 
 Cases: null, empty and blank texts have empty sets, linked with nothing; repeated rows are
 equal sets, their component is their least id; ids must be comparable; rows with null ids take part
@@ -82,12 +85,12 @@ class Hasher:
         parity = np.bincount((shingles & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
         return np.packbits(parity.astype(np.uint8), bitorder="little").view("<i8")
 
-    def most_bits(self, percent: int) -> int:
-        """The population count that a pair at the threshold exceeds by chance of five standard deviations."""
+    def most_bits(self, percent: int, sigmas: float = 7) -> int:
+        """The population count that a pair at the threshold exceeds by chance of so many standard deviations."""
         away = 1 - percent / 100
-        flips = 2 * (self.n * away + 5 * (self.n * away * (1 - away)) ** 0.5)
+        flips = 2 * (self.n * away + sigmas * (self.n * away * (1 - away)) ** 0.5)
         mean = SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** flips)
-        return int(mean + 3 * mean**0.5)
+        return int(mean + sigmas * (mean / 2) ** 0.5)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.ndarray]:
@@ -143,9 +146,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int, slice_bytes: int, broa
             found = [x.tobytes() for x in shingle_sets(*wordscan.utf8(batch.column("text")), k)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.binary())], names=["id", "items"])
 
-    near = F.broadcast(wanted) if wanted.count() <= broadcast_ids else wanted
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.join(near, "id", "left_semi").mapInArrow(sets, f"id {kind}, items binary")
+    return docs.join(_near(wanted, broadcast_ids), "id", "left_semi").mapInArrow(sets, f"id {kind}, items binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, broadcast_ids: int) -> DataFrame:
@@ -170,14 +172,66 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, broadcast_ids: in
     return rows.mapInArrow(test, f"lo {kind}, hi {kind}")
 
 
+def alike(pairs: DataFrame, sketches: DataFrame, hasher: Hasher, percent: int) -> DataFrame:
+    """Those of the pairs (lo, hi) that sizes and sketches (c, n_shingles, odd) don't rule out."""
+    left = sketches.select(F.col("c").alias("lo"), F.col("n_shingles").alias("n_lo"), F.col("odd").alias("odd_lo"))
+    right = sketches.select(F.col("c").alias("hi"), F.col("n_shingles").alias("n_hi"), F.col("odd").alias("odd_hi"))
+    both = pairs.join(left, "lo").join(right, "hi")
+    apart = [sum((F.bit_count(F.col("odd_lo")[j].bitwiseXOR(F.col("odd_hi")[j])) for j in range(a, a + LANES)), F.lit(0)) for a in (0, LANES)]
+    near = (100 * F.least("n_lo", "n_hi") >= percent * F.greatest("n_lo", "n_hi")) & (apart[0] <= hasher.most_bits(percent))
+    return both.where(near & ((100 + percent) * apart[1] <= (100 - percent) * (F.col("n_lo") + F.col("n_hi")))).select("lo", "hi")
+
+
+def prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (lo, hi) of members (c, part) of different parts that may be linked: all that are, and few others. sets: (id, items)."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                items = np.frombuffer(batch.column("items")[k].as_buffer(), np.int64)
+                own = [pa.array([batch.column(c)[k].as_py()] * len(items), batch.schema.field(c).type) for c in ("c", "part")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.full(len(items), len(items))), pa.array(items)], names=["c", "part", "n", "item"])
+
+    kind = members.schema["c"].dataType.simpleString()
+    own = sets.join(members, sets["id"] == members["c"]).select("c", "part", "items")
+    rows = materialize(own.mapInArrow(unpack, f"c {kind}, part {kind}, n bigint, item bigint"), "items")
+    # how frequent a shingle is, and in which part the most
+    by_part = rows.groupBy("item", "part").agg(F.count("*").alias("k"))
+    items = by_part.groupBy("item").agg(F.sum("k").alias("df"), F.count("*").alias("parts"), F.max(F.struct("k", "part")).alias("top"))
+    items = materialize(items.select("item", "df", (F.col("parts") > 1).alias("crossed"), F.col("top.part").alias("top_part")), "frequencies")
+    # first places in the common order: rarest first
+    ranked = rows.join(items.where("df > 1").select("item", "df", "crossed"), "item", "left")
+    first = lambda least: F.col("n") - least + 1
+    most = first(F.ceil(F.lit(percent) * F.col("n") / 100)).cast("bigint")
+    fewer = first(F.ceil(F.lit(2 * percent) * F.col("n") / (100 + percent))).cast("bigint")
+    in_order = F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "item", F.coalesce("crossed", F.lit(False)).alias("crossed"))))
+    sorted_ = ranked.groupBy("c", "part", "n").agg(in_order.alias("all"))
+    prefix = sorted_.select("c", "part", "n", fewer.alias("fewer"), F.posexplode(F.slice("all", F.lit(1), most.cast("int"))).alias("place", "s"))
+    prefix = materialize(prefix.where("s.crossed").select("c", "part", "n", "place", (F.col("place") < F.col("fewer")).alias("early"), F.col("s.item").alias("item")), "prefixes")
+    outer = prefix.join(items.where("crossed").select("item", "top_part"), "item").where("part <> top_part").drop("top_part")
+    a, b = outer.alias("a"), prefix.alias("b")
+    a_smaller = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.c") < F.col("b.c")))
+    rest = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
+    may = (F.col("a.part") != F.col("b.part")) & F.when(a_smaller, F.col("a.early")).otherwise(F.col("b.early"))
+    may = may & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")) & ((100 + percent) * rest >= percent * (F.col("a.n") + F.col("b.n")))
+    pairs = a.join(b, (F.col("a.item") == F.col("b.item")) & may)
+    out = materialize(pairs.select(F.least("a.c", "b.c").alias("lo"), F.greatest("a.c", "b.c").alias("hi")).distinct(), "pairs")
+    discard(rows, items, prefix)
+    return out
+
+
+#: Members of the first hub's component that become hubs in each round after the first.
+HUBS = (4, 16, 64)
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
     id_col: str = "doc_id",
     text_col: str = "text",
-    k: int = 3,
-    percent: int = 85,
-    bands: int = 24,
+    k: int = 5,
+    percent: int = 80,
+    bands: int = 40,
     rows: int = 6,
     slice_bytes: int = 2 << 20,
     broadcast_ids: int = 2_000_000,
@@ -195,48 +249,56 @@ def near_duplicates(
     heads = some.join(named.where("id = class_id").select("id"), "id", "left_semi").dropDuplicates(["id"])
     heads = materialize(heads.select(F.col("id").alias("c"), "n_shingles", "odd", "bands"), "heads")
     release(spark)
-    bucket = heads.select("c", "n_shingles", "odd", F.posexplode("bands").alias("band", "value"))
-    crowded = bucket.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
-    members = materialize(bucket.join(crowded, ["band", "value"]), "members")
+    # a value is that of one band; rows are two numbers until a pair is to be judged
+    values = heads.select("c", F.explode("bands").alias("value"))
+    crowded = values.groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
+    members = materialize(values.join(crowded, "value"), "members")
+    release(spark)
     # a class in many and large buckets is near the middle of its group
     central = members.groupBy("c").agg(F.sum("n").alias("central"))
-    members = materialize(members.join(central, "c"), "members")
-    sets = materialize(full_sets(texts, members.select(F.col("c").alias("id")).distinct(), k, slice_bytes, broadcast_ids).dropDuplicates(["id"]), "sets")
+    members = materialize(members.select("c", "value").join(central, "c"), "members")
+    wanted = materialize(members.select("c").distinct(), "wanted")
+    sketches = materialize(heads.join(_near(wanted, broadcast_ids), "c", "left_semi").select("c", "n_shingles", "odd"), "sketches")
+    sets = materialize(full_sets(texts, wanted.select(F.col("c").alias("id")), k, slice_bytes, broadcast_ids).dropDuplicates(["id"]), "sets")
+    discard(heads)
     release(spark)
     links: DataFrame | None = None
     parts: DataFrame | None = None
-    number = 0
-    while True:
+    for number in range(len(HUBS) + 2):
         at = members.withColumn("part", F.col("c")) if parts is None else members.join(parts, "c", "left").withColumn("part", F.coalesce("component", "c")).drop("component")
         at = at.withColumn("luck", F.pmod(F.xxhash64("c", F.lit(number)), F.lit(1 << 20)) / float(1 << 20))
         top = F.max(F.struct("central", "luck", "c", "part"))
-        open_ = at.groupBy("band", "value").agg(F.count("*").alias("many"), F.min("part").alias("low"), F.max("part").alias("high"), top.alias("top"))
-        open_ = open_.where("low < high").select("band", "value", "many", F.col("top.c").alias("top"), F.col("top.part").alias("top_part"))
-        # hubs: the most central member, in later rounds some of its component, at last members of the other components
-        inner, outer = ((0, 0), (4, 0), (16, 0), (64, 0), (0, 0.125))[number] if number < 5 else (0, 1)
-        own = F.col("part") == F.col("top_part")
-        is_hub = (F.col("c") == F.col("top")) | (own & (F.col("luck") < F.lit(float(inner)) / F.col("many"))) | (~own & (F.col("luck") < float(outer)))
-        at = materialize(at.join(open_, ["band", "value"]).withColumn("hub", is_hub).drop("top", "top_part", "many", "luck"), "open")
+        open_ = at.groupBy("value").agg(F.count("*").alias("many"), F.min("part").alias("low"), F.max("part").alias("high"), top.alias("top"))
+        open_ = materialize(open_.where("low < high").select("value", "many", F.col("top.c").alias("top"), F.col("top.part").alias("top_part")), "buckets")
+        at = materialize(at.join(_near(open_, broadcast_ids // 4), "value"), "open")
+        discard(open_, members)
         if at.limit(1).count() == 0:
             discard(at)
             break
-        hub = at.where("hub").select("band", "value", F.col("c").alias("h"), F.col("part").alias("h_part"), F.col("n_shingles").alias("h_n"), F.col("odd").alias("h_odd"))
-        apart = [sum((F.bit_count(F.col("odd")[j].bitwiseXOR(F.col("h_odd")[j])) for j in range(a, a + LANES)), F.lit(0)) for a in (0, LANES)]
-        alike = (100 * F.least("n_shingles", "h_n") >= percent * F.greatest("n_shingles", "h_n")) & (apart[0] <= hasher.most_bits(percent))
-        alike = alike & ((100 + percent) * apart[1] <= (100 - percent) * (F.col("n_shingles") + F.col("h_n")))
-        pairs = at.join(hub, ["band", "value"]).where((F.col("part") != F.col("h_part")) & alike)
-        pairs = materialize(pairs.select(F.least("c", "h").alias("lo"), F.greatest("c", "h").alias("hi")).distinct(), "pairs")
+        inside = F.col("part") == F.col("top_part")
+        if number == 0:
+            hub = F.col("c") == F.col("top")
+            found = at.where(~hub).select("c", F.col("top").alias("h"))
+        elif number <= len(HUBS):
+            hub = (F.col("c") == F.col("top")) | (inside & (F.col("luck") < F.lit(float(HUBS[number - 1])) / F.col("many")))
+            hubs = at.where(hub & inside).select("value", F.col("c").alias("h"))
+            found = at.where(~inside).select("value", "c").join(hubs, "value")
+        else:
+            found = prefix_pairs(at.select("c", "part").distinct(), sets, percent).select(F.col("lo").alias("c"), F.col("hi").alias("h"))
+        pairs = found.select(F.least("c", "h").alias("lo"), F.greatest("c", "h").alias("hi")).distinct()
+        pairs = materialize(alike(pairs, sketches, hasher, percent), "pairs")
         found = confirmed(pairs, sets, percent, broadcast_ids)
         found = materialize(found if links is None else links.unionByName(found), "links")
         discard(links)
         links = found
         parts = connected_components(links, "lo", "hi").select(F.col("node").alias("c"), "component")
-        following = materialize(at.where("not hub").drop("hub", "part"), "members")
-        discard(at, pairs, members)
-        members = following
+        if number > len(HUBS):
+            discard(at, pairs)
+            break
+        members = materialize(at.where(~hub).select("c", "value", "central"), "members")
+        discard(at, pairs)
         release(spark)
-        number += 1
-    discard(sets, members, heads)
+    discard(sets, sketches, wanted)
     out = signed.select("id", "n_shingles").join(named, "id", "left")
     if parts is not None:
         out = out.join(parts.withColumnRenamed("c", "class_id"), "class_id", "left")
@@ -248,3 +310,7 @@ def near_duplicates(
         F.coalesce("class_id", "id").alias("class_id"),
         F.coalesce("component", "class_id", "id").alias("component_id"),
     )
+
+
+def _near(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if df.count() <= rows else df

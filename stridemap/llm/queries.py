@@ -45,7 +45,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_duplicates(read(spark, sf_dir, "documents"))
+    found = near_duplicates(read(spark, sf_dir, "documents"), k=3, percent=85, bands=24)
     return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 

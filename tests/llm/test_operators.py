@@ -183,7 +183,7 @@ def test_near_duplicates_equal_all_pairs(spark):
         for _ in range(2):
             chain[rng.randrange(len(chain))] = f"new{step}"
     rows += [(3000, "A b"), (3001, "a B"), (3002, "a"), (3003, ""), (3004, " "), (3005, "a b c"), (3006, "a b")]
-    got = by_id(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    got = by_id(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), k=3, percent=85, bands=24))
     assert {k: (r["n_shingles"], r["component_id"]) for k, r in got.items()} == components_of(rows)
 
 
@@ -197,8 +197,74 @@ def test_odd_sketch_of_a_set_is_a_lower_bound():
         assert apart <= len(np.setxor1d(a, b))
 
 
+def boilerplate(n, seed=1):
+    """Texts with the same long passage, unlike enough in the rest not to be linked: similarity of about 0.75."""
+    rng = random.Random(seed)
+    shared = prose(rng, 240)
+    return [(k, shared + " " + " ".join(f"own{k}x{j}" for j in range(38))) for k in range(n)]
+
+
+def test_shared_boilerplate_is_linear(spark, monkeypatch):
+    made = []
+    for name in ("alike", "prefix_pairs"):
+        real = getattr(near_dedup, name)
+
+        def counted(first, *rest, real=real, name=name):
+            out = real(first, *rest)
+            made.append((name, (first if name == "alike" else out).count()))
+            return out
+
+        monkeypatch.setattr(near_dedup, name, counted)
+    totals = []
+    for n in (150, 300):
+        made.clear()
+        got = near_dedup.near_duplicates(spark.createDataFrame(boilerplate(n), "doc_id bigint, text string"), k=3, percent=85, bands=24)
+        assert got.where("component_id <> doc_id").count() == 0
+        assert [x for name, x in made if name == "prefix_pairs"] == [0]  # reached, and no pair was made
+        totals.append(sum(x for _, x in made))
+    assert totals[1] <= 2.5 * totals[0]
+
+
+def test_prefixes_find_all_links(spark):
+    rng = random.Random(21)
+    rows = []
+    for base in range(12):
+        words = prose(rng, 90).split()
+        for _ in range(8):
+            own = list(words)
+            for _ in range(rng.randrange(1, 8)):
+                own[rng.randrange(len(own))] = f"x{rng.randrange(60)}"
+            rows.append((len(rows), " ".join(own[: rng.randrange(80, 91)])))
+    docs = spark.createDataFrame(rows, "id bigint, text string")
+    sets = near_dedup.full_sets(docs, docs.select("id"), 3, 1 << 20, 10**6)
+    members = docs.select(F.col("id").alias("c"), F.col("id").alias("part"))
+    pairs = {tuple(r) for r in near_dedup.prefix_pairs(members, sets, 85).collect()}
+    plain = {}
+    for key, text in rows:
+        words = text.split()
+        plain[key] = {tuple(words[j : j + 3]) for j in range(len(words) - 2)}
+    want = {(a, b) for a in plain for b in plain if a < b and 100 * len(plain[a] & plain[b]) >= 85 * len(plain[a] | plain[b])}
+    assert want and want <= pairs and len(pairs) < 3 * len(want) + 50
+
+
+def test_recall_on_some_thousand_rows(spark):
+    """Of all links between neighbours of many small groups at every similarity from the threshold up, components lose none."""
+    rng = random.Random(33)
+    rows = []
+    for _ in range(900):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(30, 120))]
+        for _ in range(4):
+            rows.append((len(rows), " ".join(words)))
+            words = list(words)
+            words[rng.randrange(len(words))] = f"w{rng.randrange(10**6)}"
+    got = by_id(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), k=3, percent=85, bands=24))
+    for a in range(0, len(rows), 4):
+        want = components_of(rows[a : a + 4])
+        assert {k: (got[k]["n_shingles"], got[k]["component_id"]) for k in want} == want
+
+
 def test_near_duplicates_of_odd_rows(spark, odd_rows, no_rows):
-    got = near_dedup.near_duplicates(odd_rows).collect()
+    got = near_dedup.near_duplicates(odd_rows, k=3, percent=85).collect()
     assert len(got) == odd_rows.count()
     assert {(r["doc_id"], r["component_id"]) for r in got} == {(k, {6: 5, 10: 5}.get(k, k)) for k in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, None)}
     assert near_dedup.near_duplicates(no_rows).count() == 0
