@@ -14,9 +14,9 @@ A document's set holds its distinct shingles of `k` words (lower-cased A-Z runs
    only one of the two has, so it drops no linked pair, and for sets of some hundred shingles it drops nearly all others.
 4. What remains is confirmed on the full sets.
 
-No pairs are made within a band's bucket. In each of four rounds every bucket with more than one component names hubs. The first hub is the most
-central member, the one whose buckets are largest: in a group of near copies it is linked with most. All members are compared with it. Then 4, 16 and
-64 members of its component follow, which only those outside are compared with. Then hubs leave the bucket, since all their links
+No pairs are made within a band's bucket. In each of two rounds every bucket with more than one component names hubs. The first hub is the most
+central member, the one whose buckets are largest: in a group of near copies it is linked with most. All members are compared with it. Then about
+four members of its component follow, which only those outside are compared with. Then hubs leave the bucket, since all their links
 there that matter are known, and components are joined: a round's comparisons are the members times a constant.
 
 What is still in buckets with two components is like others without being linked, such as texts with the same long boilerplate. It is
@@ -221,7 +221,7 @@ def prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
 
 #: Members of the first hub's component that become hubs in each round after the first.
-HUBS = (4, 16, 64)
+HUBS = (4,)
 
 
 def near_duplicates(
