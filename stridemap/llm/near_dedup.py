@@ -208,7 +208,8 @@ def prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     sorted_ = ranked.groupBy("c", "part", "n").agg(in_order.alias("all"))
     prefix = sorted_.select("c", "part", "n", fewer.alias("fewer"), F.posexplode(F.slice("all", F.lit(1), most.cast("int"))).alias("place", "s"))
     prefix = materialize(prefix.where("s.crossed").select("c", "part", "n", "place", (F.col("place") < F.col("fewer")).alias("early"), F.col("s.item").alias("item")), "prefixes")
-    outer = prefix.join(items.where("crossed").select("item", "top_part"), "item").where("part <> top_part").drop("top_part")
+    # written, so that both sides of the next join are dealt out anew and a hot shingle's can be split
+    outer = materialize(prefix.join(items.where("crossed").select("item", "top_part"), "item").where("part <> top_part").drop("top_part"), "outer")
     a, b = outer.alias("a"), prefix.alias("b")
     a_smaller = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.c") < F.col("b.c")))
     rest = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
@@ -216,7 +217,7 @@ def prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     may = may & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")) & ((100 + percent) * rest >= percent * (F.col("a.n") + F.col("b.n")))
     pairs = a.join(b, (F.col("a.item") == F.col("b.item")) & may)
     out = materialize(pairs.select(F.least("a.c", "b.c").alias("lo"), F.greatest("a.c", "b.c").alias("hi")).distinct(), "pairs")
-    discard(rows, items, prefix)
+    discard(rows, items, prefix, outer)
     return out
 
 
