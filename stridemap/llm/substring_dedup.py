@@ -17,13 +17,17 @@ and recursion ends after two rounds:
    prefix of 200 bytes, and neighbours in that order are compared.
 
 Prefixes are named by 64-bit hashes (40 bits and the bucket's for the samples, where a
-collision only costs work), so that a sort compares numbers. A start is wrongly named with a probability of the
-number of candidate starts over 2**64.
+collision only costs work), so that a sort compares numbers. A hash is not the string, so what is removed is confirmed:
+in each run of repeated starts those that cover all its bytes (every `length`-th and the last) are looked for in all texts, and
+count only if another place has the same name and the same SHA-256 of its bytes. If one does not, all starts of its run are
+looked for, and those without a partner are dropped.
 
 Texts lie in chunks of some MB, which never move for the sorts: a chunk sends its sorted
 distinct names in bulk, dealt out by their top bits; each bucket sends back one bit for each
 name. A name that is in every text is sent once by each chunk, so no bucket is larger than
-the others by more than one entry for each chunk. Equal texts are joined to one before.
+the others by more than one entry for each chunk. The number of such blobs is that of chunks times that of buckets; where they would be shorter
+than `blob_bytes` on average, names go as rows instead, grouped and joined by Spark, so that what is sent stays in proportion to the
+text. Of equal texts one is in a chunk; only texts with copies are shuffled for that.
 
 Cases: null text is empty; a text shorter than `length` bytes loses nothing; repeated rows are
 documents of their own, so texts of at least `length` bytes that occur twice are removed whole;
@@ -84,9 +88,10 @@ class Cover:
 class Chunk:
     """Texts in one byte array."""
 
-    def __init__(self, data: bytes, offsets: bytes, cover: Cover):
-        self.data, self.offsets, self.cover = np.frombuffer(zstandard.decompress(data), np.uint8), np.frombuffer(offsets, np.int64), cover
+    def __init__(self, row: dict, cover: Cover, name_bits: int):
+        self.data, self.offsets, self.cover = np.frombuffer(zstandard.decompress(row["data"]), np.uint8), np.frombuffer(row["offsets"], np.int64), cover
         self.prefix = wordscan.prefix_hash(self.data)
+        self.spare = np.uint64(64 - name_bits)
 
     def samples(self) -> np.ndarray:
         cover, out = self.cover, []
@@ -111,7 +116,27 @@ class Chunk:
         return np.flatnonzero(np.cumsum(change[:-1]) > 0)
 
     def names(self, starts: np.ndarray, length: int) -> np.ndarray:
-        return wordscan.span_hash(self.prefix, starts, starts + length)
+        return wordscan.span_hash(self.prefix, starts, starts + length) >> self.spare << self.spare
+
+    def digests(self, starts: np.ndarray) -> list[bytes]:
+        raw = memoryview(self.data)
+        return [hashlib.sha256(raw[a : a + self.cover.length]).digest() for a in starts.tolist()]
+
+
+def as_runs(starts: np.ndarray) -> np.ndarray:
+    """Rows (first, after the last) of runs of consecutive starts."""
+    if not len(starts):
+        return np.zeros((0, 2), np.int64)
+    cuts = np.flatnonzero(np.diff(starts) > 1)
+    return np.column_stack((starts[np.append(0, cuts + 1)], starts[np.append(cuts, len(starts) - 1)] + 1))
+
+
+def from_runs(runs: np.ndarray, step: int = 1) -> np.ndarray:
+    """Every step-th start of each run, and its last."""
+    sizes = -(-(runs[:, 1] - runs[:, 0]) // step)
+    at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    found = np.repeat(runs[:, 0], sizes) + at * step
+    return np.unique(np.concatenate((found, runs[:, 1] - 1))) if step > 1 else found
 
 
 def dealt(names: np.ndarray, bits: int, width: int) -> Iterator[tuple[int, bytes, bytes]]:
@@ -130,9 +155,11 @@ def _edges(bits: int) -> np.ndarray:
     return np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
 
 
-def flags_of(names: np.ndarray, masks: list[dict] | None, bits: int) -> np.ndarray:
-    """For each name (in the order given), whether its bucket said that it is repeated."""
+def flags_of(names: np.ndarray, masks: list[dict] | None, known: list[int] | None, bits: int) -> np.ndarray:
+    """For each name (in the order given), whether it was found: its bucket's mask says so, or it is among the known."""
     distinct, place = np.unique(names, return_inverse=True)
+    if known is not None:
+        return np.isin(distinct, np.array(known, np.int64).view(np.uint64))[place]
     flags = np.zeros(len(distinct), bool)
     cuts = _cuts(distinct, bits)
     for mask in masks or ():
@@ -145,8 +172,22 @@ def _cuts(distinct: np.ndarray, bits: int) -> np.ndarray:
     return np.append(np.searchsorted(distinct, _edges(bits)), len(distinct))
 
 
-def repeated(blobs: DataFrame, width: int) -> DataFrame:
-    """(chunk, masks): for each chunk, for each of its buckets that has any, which names are repeated."""
+#: chunk -1 asks for names.
+BLOB = "bucket int, chunk bigint, names binary, twice binary"
+ROW = "chunk bigint, name bigint, twice boolean"
+
+
+def answered(sent: DataFrame, width: int, as_rows: bool, asked: bool = False) -> DataFrame:
+    """(chunk, masks, known): for each chunk which of its names are repeated, or with `asked` which ones chunk -1 has too. As
+    masks for each of its buckets that has any, or as a list of the names."""
+    if as_rows:
+        here = sent.where("chunk >= 0")
+        if asked:
+            wanted = sent.where("chunk < 0").select("name").distinct()
+        else:
+            wanted = here.groupBy("name").agg(F.count("*").alias("n"), F.max("twice").alias("twice")).where("n > 1 or twice").select("name")
+        found = here.join(wanted, "name", "left_semi").groupBy("chunk").agg(F.collect_list("name").alias("known"))
+        return found.select("chunk", F.lit(None).cast("array<struct<bucket:int,repeated:binary>>").alias("masks"), "known")
 
     def settle(group: pa.Table) -> pa.Table:
         chunks = group.column("chunk").to_pylist()
@@ -155,18 +196,23 @@ def repeated(blobs: DataFrame, width: int) -> DataFrame:
         wide = np.zeros((sum(sizes), 8), np.uint8)
         wide[:, :width] = np.concatenate(parts)
         flat = wide.view("<u8").ravel()
-        flags = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n).astype(bool) for x, n in zip(group.column("twice").to_pylist(), sizes, strict=True)])
-        order = np.argsort(flat, kind="stable")
-        same = flat[order[1:]] == flat[order[:-1]]  # neighbours in sorted order
-        flags[order[1:][same]] = True
-        flags[order[:-1][same]] = True
         ends = np.cumsum(sizes)
-        rows = [(c, np.packbits(flags[e - n : e]).tobytes()) for c, n, e in zip(chunks, sizes, ends.tolist(), strict=True) if flags[e - n : e].any()]
+        if asked:
+            ours = np.repeat(np.array(chunks) < 0, sizes)
+            flags = np.isin(flat, flat[ours])
+        else:
+            flags = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n).astype(bool) for x, n in zip(group.column("twice").to_pylist(), sizes, strict=True)])
+            order = np.argsort(flat, kind="stable")
+            same = flat[order[1:]] == flat[order[:-1]]  # neighbours in sorted order
+            flags[order[1:][same]] = True
+            flags[order[:-1][same]] = True
+        rows = [(c, np.packbits(flags[e - n : e]).tobytes()) for c, n, e in zip(chunks, sizes, ends.tolist(), strict=True) if c >= 0 and flags[e - n : e].any()]
         bucket = group.column("bucket")[0].as_py()
         return pa.table({"chunk": pa.array([r[0] for r in rows], pa.int64()), "bucket": pa.array([bucket] * len(rows), pa.int32()), "repeated": pa.array([r[1] for r in rows], pa.binary())})
 
-    found = blobs.groupBy("bucket").applyInArrow(settle, "chunk bigint, bucket int, repeated binary")
-    return found.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "repeated")).alias("masks"))
+    found = sent.groupBy("bucket").applyInArrow(settle, "chunk bigint, bucket int, repeated binary")
+    found = found.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "repeated")).alias("masks"))
+    return found.select("chunk", "masks", F.lit(None).cast("array<bigint>").alias("known"))
 
 
 def pack_chunks(rows: DataFrame, chunk_bytes: int) -> DataFrame:
@@ -203,6 +249,15 @@ def pack_chunks(rows: DataFrame, chunk_bytes: int) -> DataFrame:
     return rows.mapInArrow(pack, "chunk bigint, n_bytes bigint, keys array<string>, copies array<bigint>, offsets binary, data binary")
 
 
+def distinct_texts(rows: DataFrame, broadcast_rows: int) -> DataFrame:
+    """(key, text, copies) of rows (text): each text once, with its hash. Only texts that have copies are shuffled."""
+    keyed = rows.select(F.sha2("text", 256).alias("key"), "text")
+    copied = materialize(keyed.groupBy("key").agg(F.count("*").alias("copies")).where("copies > 1"), "copied")
+    near = F.broadcast(copied) if copied.count() <= broadcast_rows else copied
+    once = keyed.join(near.select("key"), "key", "left_anti").select("key", "text", F.lit(1).cast("bigint").alias("copies"))
+    return once.unionByName(keyed.join(near, "key").dropDuplicates(["key"]))
+
+
 def repeated_spans(
     docs: DataFrame,
     *,
@@ -211,51 +266,131 @@ def repeated_spans(
     length: int = 200,
     chunk_bytes: int = 3 << 20,
     bucket_bytes: int = 8 << 20,
+    blob_bytes: int = 256,
+    broadcast_rows: int = 1_000_000,
+    name_bits: int = 64,
     with_kept: bool = False,
 ) -> DataFrame:
     """One row for each document: id, n_bytes, n_removed, spans (removed [start, end) in bytes),
-    kept_sha256, and the kept bytes if asked for."""
+    kept_sha256, and the kept bytes if asked for. Names of fewer bits cost work, not results."""
     spark = docs.sparkSession
     wordscan.bound_batches(spark)
     cover = Cover(length)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
-    long = rows.where(F.octet_length("text") >= length).select(F.sha2("text", 256).alias("key"), "text")
-    distinct = long.groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    chunks = materialize(pack_chunks(distinct.select("key", "text", "copies"), chunk_bytes), "chunks")
+    distinct = distinct_texts(rows.where(F.octet_length("text") >= length), broadcast_rows)
+    chunks = materialize(pack_chunks(distinct, chunk_bytes), "chunks")
     release(spark)
     total = chunks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("n")).first()["n"]
     # buckets of at most about bucket_bytes of names, if every start were a candidate in the second round
     bits = max(8, (int(total * cover.member.mean() * SAMPLE_WIDTH) // bucket_bytes).bit_length())
     more_bits = max(8, (total * START_WIDTH // (2 * bucket_bytes)).bit_length())
+    sample_rows = int(chunk_bytes * cover.member.mean() * SAMPLE_WIDTH) >> bits < blob_bytes
+    start_rows = (chunk_bytes * START_WIDTH // 4) >> more_bits < blob_bytes
+    kind = lambda as_rows: ROW if as_rows else BLOB
 
     def send_samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            chunk = Chunk(row["data"], row["offsets"], cover)
-            yield from _blobs(row["chunk"], chunk.names(chunk.samples(), cover.short), bits, SAMPLE_WIDTH)
+            chunk = Chunk(row, cover, name_bits)
+            yield from _sent(row["chunk"], chunk.names(chunk.samples(), cover.short), bits, SAMPLE_WIDTH, sample_rows)
 
     def starts_of(row: dict) -> tuple[Chunk, np.ndarray]:
-        chunk = Chunk(row["data"], row["offsets"], cover)
+        chunk = Chunk(row, cover, name_bits)
         samples = chunk.samples()
-        kept = flags_of(chunk.names(samples, cover.short), row["masks"], bits)
+        kept = flags_of(chunk.names(samples, cover.short), row["masks"], row["known"], bits)
         return chunk, chunk.candidates(samples, kept)
 
     def send_starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             chunk, starts = starts_of(row)
-            yield from _blobs(row["chunk"], chunk.names(starts, length), more_bits, START_WIDTH)
+            yield from _sent(row["chunk"], chunk.names(starts, length), more_bits, START_WIDTH, start_rows)
+
+    def keep_starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            chunk, starts = starts_of(row)
+            runs = as_runs(starts[flags_of(chunk.names(starts, length), row["more_masks"], row["more_known"], more_bits)])
+            yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]], pa.int64()), pa.array([runs.astype("<i8").tobytes()], pa.binary())], names=["chunk", "runs"])
+
+    def runs_of(row: dict) -> np.ndarray:
+        return np.frombuffer(row["runs"], "<i8").reshape(-1, 2)
+
+    body = chunks.select("chunk", "offsets", "data")
+    first = materialize(answered(body.mapInArrow(send_samples, kind(sample_rows)), SAMPLE_WIDTH, sample_rows), "names")
+    release(spark)
+    second = materialize(answered(body.join(first, "chunk").mapInArrow(send_starts, kind(start_rows)), START_WIDTH, start_rows), "starts")
+    release(spark)
+    both = body.join(first, "chunk").join(second.withColumnsRenamed({"masks": "more_masks", "known": "more_known"}), "chunk")
+    runs = materialize(both.mapInArrow(keep_starts, "chunk bigint, runs binary"), "runs")
+    discard(first, second)
+    release(spark)
+
+    def without_partner(runs: DataFrame, step: int) -> DataFrame:
+        """(chunk, at): of every step-th start and the last of each run, those whose string is nowhere else."""
+
+        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for row in _rows(batches):
+                chunk, at = Chunk(row, cover, name_bits), from_runs(runs_of(row), step)
+                names = chunk.names(at, length).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), row["chunk"])), pa.array(at), pa.array(names), pa.array(chunk.digests(at), pa.binary())], names=["chunk", "at", "name", "digest"])
+
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield from _sent(-1, batch.column("name").to_numpy().view(np.uint64), more_bits, START_WIDTH, start_rows)
+
+        def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for row in _rows(batches):
+                yield from _sent(row["chunk"], Chunk(row, cover, name_bits).names(from_runs(runs_of(row)), length), more_bits, START_WIDTH, start_rows)
+
+        def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for row in _rows(batches):
+                chunk, at = Chunk(row, cover, name_bits), from_runs(runs_of(row))
+                names = chunk.names(at, length)
+                asked = flags_of(names, row["masks"], row["known"], more_bits)
+                found = list(zip(names[asked].view(np.int64).tolist(), chunk.digests(at[asked]), strict=True))
+                count: dict[tuple[int, bytes], int] = {}
+                for x in found:
+                    count[x] = count.get(x, 0) + 1
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in count], pa.int64()), pa.array([x[1] for x in count], pa.binary()), pa.array(list(count.values()), pa.int64())], names=["name", "digest", "n"])
+
+        probes = materialize(body.join(runs, "chunk").mapInArrow(probe, "chunk bigint, at bigint, name bigint, digest binary"), "probes")
+        wanted = probes.select("name").distinct().mapInArrow(ask, kind(start_rows))
+        offered = body.join(all_runs, "chunk").mapInArrow(offer, kind(start_rows))
+        asked = materialize(answered(wanted.unionByName(offered), START_WIDTH, start_rows, asked=True), "asked")
+        release(spark)
+        shown = body.join(all_runs, "chunk").join(asked, "chunk").mapInArrow(show, "name bigint, digest binary, n bigint")
+        partners = shown.groupBy("name", "digest").agg(F.sum("n").alias("n")).where("n > 1")
+        alone = materialize(probes.join(partners, ["name", "digest"], "left_anti").select("chunk", "at"), "alone")
+        discard(probes, asked)
+        release(spark)
+        return alone
+
+    def affected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            own, at = runs_of(row), np.array(row["bad"], np.int64)
+            hit = np.unique(np.searchsorted(own[:, 0], at, "right") - 1)
+            yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]], pa.int64()), pa.array([own[hit].tobytes()], pa.binary())], names=["chunk", "runs"])
+
+    all_runs = runs
+    bad = without_partner(runs, length)
+    if bad.limit(1).count():  # equal hashes of unlike strings
+        worse = runs.join(bad.groupBy("chunk").agg(F.collect_list("at").alias("bad")), "chunk")
+        again = materialize(worse.mapInArrow(affected, "chunk bigint, runs binary"), "affected")
+        bad = without_partner(again, 1)
+        discard(again)
+    bad = bad.groupBy("chunk").agg(F.collect_list("at").alias("bad"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             offsets = np.frombuffer(row["offsets"], np.int64)
             change = np.zeros(int(offsets[-1]) + 1, np.int32)
             data = None
-            if row["masks"]:
-                chunk, starts = starts_of(row)
-                data = chunk.data
-                starts = starts[flags_of(chunk.names(starts, length), row["more"], more_bits)]
-                np.add.at(change, starts, 1)
-                np.add.at(change, starts + length, -1)
+            if row["runs"]:
+                data = np.frombuffer(zstandard.decompress(row["data"]), np.uint8)
+                own = runs_of(row)
+                if row["bad"]:
+                    own = as_runs(np.setdiff1d(from_runs(own), np.array(row["bad"], np.int64)))
+                np.add.at(change, own[:, 0], 1)
+                np.add.at(change, own[:, 1] - 1 + length, -1)
             covered = np.cumsum(change[:-1]) > 0
             out: list[tuple] = []
             for key, copies, a, b in zip(row["keys"], row["copies"], offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
@@ -269,15 +404,9 @@ def repeated_spans(
                 kinds = [pa.string(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["key", "n_removed", "spans", "kept_sha256", "kept"])
 
-    blob = "bucket int, chunk bigint, names binary, twice binary"
-    body = chunks.select("chunk", "offsets", "data")
-    first = materialize(repeated(body.mapInArrow(send_samples, blob), SAMPLE_WIDTH), "names")
-    release(spark)
-    second = materialize(repeated(body.join(first, "chunk").mapInArrow(send_starts, blob), START_WIDTH), "starts")
-    release(spark)
-    both = chunks.join(first, "chunk", "left").join(second.withColumnRenamed("masks", "more"), "chunk", "left")
-    removed = materialize(both.mapInArrow(judge, "key string, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept_sha256 string, kept binary"), "removed")
-    discard(chunks, first, second)
+    full = chunks.join(runs, "chunk", "left").join(bad, "chunk", "left")
+    removed = materialize(full.mapInArrow(judge, "key string, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept_sha256 string, kept binary"), "removed")
+    discard(chunks, runs)
     release(spark)
     whole = rows.select("id", F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2("text", 256).alias("key"), *([F.encode("text", "UTF-8").alias("whole")] if with_kept else []))
     out = whole.join(removed.withColumnRenamed("kept_sha256", "rest_sha256"), "key", "left").select(
@@ -297,7 +426,11 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield batch.slice(k, 1).to_pylist()[0]
 
 
-def _blobs(chunk: int, names: np.ndarray, bits: int, width: int) -> Iterator[pa.RecordBatch]:
+def _sent(chunk: int, names: np.ndarray, bits: int, width: int, as_rows: bool) -> Iterator[pa.RecordBatch]:
+    if as_rows:
+        distinct, counts = np.unique(names, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(distinct), chunk)), pa.array(distinct.view(np.int64)), pa.array(counts > 1)], names=["chunk", "name", "twice"])
+        return
     parts = list(dealt(names, bits, width))
     if parts:
         columns = list(zip(*parts, strict=True))

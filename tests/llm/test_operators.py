@@ -284,8 +284,9 @@ def removed_of(texts, length):
         yield len(b), sum(flags), len(runs), hashlib.sha256(bytes(x for x, f in zip(b, flags, strict=True) if not f)).hexdigest()
 
 
-@pytest.mark.parametrize("length", [12, 40, 200])
-def test_substrings_equal_a_scan(spark, length):
+@pytest.mark.parametrize(("length", "blob_bytes", "name_bits"), [(12, 0, 64), (40, 10**9, 64), (200, 0, 64), (200, 10**9, 64), (40, 0, 9), (40, 10**9, 9), (200, 0, 14)])
+def test_substrings_equal_a_scan(spark, length, blob_bytes, name_bits):
+    """As blobs and as rows; with so few bits of names that unlike strings have equal names."""
     rng = random.Random(length)
     passages = [prose(rng, length) for _ in range(3)]
     texts = [prose(rng, rng.randrange(1, 60)) for _ in range(20)]
@@ -299,7 +300,7 @@ def test_substrings_equal_a_scan(spark, length):
         texts.append(text)
     texts += [texts[3], texts[3], "ab" * length, "", None, "x" * (length - 1), "é" * length, "y" * length]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    got = by_id(substring_dedup.repeated_spans(docs, length=length, chunk_bytes=700, with_kept=True))
+    got = by_id(substring_dedup.repeated_spans(docs, length=length, chunk_bytes=700, blob_bytes=blob_bytes, name_bits=name_bits, with_kept=True))
     for k, want in enumerate(removed_of([(t or "").encode() for t in texts], length)):
         r = got[k]
         assert (r["n_bytes"], r["n_removed"], len(r["spans"]), r["kept_sha256"]) == want
