@@ -27,7 +27,8 @@ distinct names in bulk, dealt out by their top bits; each bucket sends back one
 name. A name that is in every text is sent once by each chunk, so no bucket is larger than
 the others by more than one entry for each chunk. The number of such blobs is that of chunks times that of buckets; where they would be shorter
 than `blob_bytes` on average, names go as rows instead, grouped and joined by Spark, so that what is sent stays in proportion to the
-text. Of equal texts one is in a chunk; only texts with copies are shuffled for that.
+text. Of equal texts one is in a chunk; only texts with copies are shuffled for that. What buckets send back (a bit for each name) is broadcast to the chunks
+up to `broadcast_bytes`, and beyond that joined by a shuffle, which then moves the chunks too.
 
 Cases: null text is empty; a text shorter than `length` bytes loses nothing; repeated rows are
 documents of their own, so texts of at least `length` bytes that occur twice are removed whole;
@@ -268,6 +269,7 @@ def repeated_spans(
     bucket_bytes: int = 8 << 20,
     blob_bytes: int = 256,
     broadcast_rows: int = 1_000_000,
+    broadcast_bytes: int = 64 << 20,
     name_bits: int = 64,
     with_kept: bool = False,
 ) -> DataFrame:
@@ -314,12 +316,18 @@ def repeated_spans(
     def runs_of(row: dict) -> np.ndarray:
         return np.frombuffer(row["runs"], "<i8").reshape(-1, 2)
 
+    def near(df: DataFrame) -> DataFrame:
+        """A written table by chunk, to be broadcast if it is small enough."""
+        size = [F.octet_length(c) if k == "binary" else F.aggregate(c, F.lit(0).cast("bigint"), lambda n, x: n + F.octet_length(x["repeated"]) + 48) if k.startswith("array<struct") else 8 * F.size(c) if k.startswith("array") else F.lit(8) for c, k in df.dtypes]
+        weight = sum((F.greatest(F.coalesce(x, F.lit(0)), F.lit(0)).cast("bigint") for x in size), F.lit(0))
+        return F.broadcast(df) if (df.agg(F.sum(weight).alias("n")).first()["n"] or 0) <= broadcast_bytes else df
+
     body = chunks.select("chunk", "offsets", "data")
     first = materialize(answered(body.mapInArrow(send_samples, kind(sample_rows)), SAMPLE_WIDTH, sample_rows), "names")
     release(spark)
-    second = materialize(answered(body.join(first, "chunk").mapInArrow(send_starts, kind(start_rows)), START_WIDTH, start_rows), "starts")
+    second = materialize(answered(body.join(near(first), "chunk").mapInArrow(send_starts, kind(start_rows)), START_WIDTH, start_rows), "starts")
     release(spark)
-    both = body.join(first, "chunk").join(second.withColumnsRenamed({"masks": "more_masks", "known": "more_known"}), "chunk")
+    both = body.join(near(first), "chunk").join(near(second).withColumnsRenamed({"masks": "more_masks", "known": "more_known"}), "chunk")
     runs = materialize(both.mapInArrow(keep_starts, "chunk bigint, runs binary"), "runs")
     discard(first, second)
     release(spark)
@@ -352,12 +360,12 @@ def repeated_spans(
                     count[x] = count.get(x, 0) + 1
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in count], pa.int64()), pa.array([x[1] for x in count], pa.binary()), pa.array(list(count.values()), pa.int64())], names=["name", "digest", "n"])
 
-        probes = materialize(body.join(runs, "chunk").mapInArrow(probe, "chunk bigint, at bigint, name bigint, digest binary"), "probes")
+        probes = materialize(body.join(near(runs), "chunk").mapInArrow(probe, "chunk bigint, at bigint, name bigint, digest binary"), "probes")
         wanted = probes.select("name").distinct().mapInArrow(ask, kind(start_rows))
-        offered = body.join(all_runs, "chunk").mapInArrow(offer, kind(start_rows))
+        offered = body.join(near(all_runs), "chunk").mapInArrow(offer, kind(start_rows))
         asked = materialize(answered(wanted.unionByName(offered), START_WIDTH, start_rows, asked=True), "asked")
         release(spark)
-        shown = body.join(all_runs, "chunk").join(asked, "chunk").mapInArrow(show, "name bigint, digest binary, n bigint")
+        shown = body.join(near(all_runs), "chunk").join(near(asked), "chunk").mapInArrow(show, "name bigint, digest binary, n bigint")
         partners = shown.groupBy("name", "digest").agg(F.sum("n").alias("n")).where("n > 1")
         alone = materialize(probes.join(partners, ["name", "digest"], "left_anti").select("chunk", "at"), "alone")
         discard(probes, asked)
@@ -377,7 +385,7 @@ def repeated_spans(
         again = materialize(worse.mapInArrow(affected, "chunk bigint, runs binary"), "affected")
         bad = without_partner(again, 1)
         discard(again)
-    bad = bad.groupBy("chunk").agg(F.collect_list("at").alias("bad"))
+    bad = materialize(bad.groupBy("chunk").agg(F.collect_list("at").alias("bad")), "bad")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
@@ -404,9 +412,9 @@ def repeated_spans(
                 kinds = [pa.string(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["key", "n_removed", "spans", "kept_sha256", "kept"])
 
-    full = chunks.join(runs, "chunk", "left").join(bad, "chunk", "left")
+    full = chunks.join(near(runs), "chunk", "left").join(near(bad), "chunk", "left")
     removed = materialize(full.mapInArrow(judge, "key string, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept_sha256 string, kept binary"), "removed")
-    discard(chunks, runs)
+    discard(chunks, runs, bad)
     release(spark)
     whole = rows.select("id", F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2("text", 256).alias("key"), *([F.encode("text", "UTF-8").alias("whole")] if with_kept else []))
     out = whole.join(removed.withColumnRenamed("kept_sha256", "rest_sha256"), "key", "left").select(

@@ -300,7 +300,7 @@ def test_substrings_equal_a_scan(spark, length, blob_bytes, name_bits):
         texts.append(text)
     texts += [texts[3], texts[3], "ab" * length, "", None, "x" * (length - 1), "é" * length, "y" * length]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    got = by_id(substring_dedup.repeated_spans(docs, length=length, chunk_bytes=700, blob_bytes=blob_bytes, name_bits=name_bits, with_kept=True))
+    got = by_id(substring_dedup.repeated_spans(docs, length=length, chunk_bytes=700, blob_bytes=blob_bytes, name_bits=name_bits, broadcast_bytes=blob_bytes, with_kept=True))
     for k, want in enumerate(removed_of([(t or "").encode() for t in texts], length)):
         r = got[k]
         assert (r["n_bytes"], r["n_removed"], len(r["spans"]), r["kept_sha256"]) == want
