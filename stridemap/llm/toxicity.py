@@ -26,7 +26,7 @@ counts, turns them into a score from 0 to 1. All other labelled training rows ar
 
 Words are 64-bit hashes. Counts go as sorted arrays, dealt out by the hash of the pair, so a frequent word is in all
 buckets; where such arrays would be shorter than `blob_bytes`, they go as rows that Spark sums. A model of at most
-`broadcast_rows` expressions (16 bytes each) is broadcast; a larger one is joined with the distinct expressions of each chunk of
+`broadcast_rows` expressions (12 bytes each) is broadcast; a larger one is joined with the distinct expressions of each chunk of
 documents by a shuffle. Labels and the hashes of copied texts are broadcast if there are at most `broadcast_labels`, else joined by a
 shuffle.
 
@@ -41,6 +41,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -167,7 +169,7 @@ def likelihood_ratios(rows: DataFrame, evidence: float, slice_bytes: int, bucket
     n = words.agg(*(F.coalesce(F.sum(s), F.lit(0)).cast("double").alias(s) for s in STATS), *(F.count_if(F.col(s) > 0).alias("v" + s[-2:]) for s in ("before_t", "before_o"))).first()
     if not n["before_t"] or not n["before_o"]:
         discard(often, words)
-        return rows.sparkSession.createDataFrame([], "h bigint, w bigint, e double")
+        return rows.sparkSession.createDataFrame([], "h bigint, w bigint, e float")
 
     def weight(t: str, o: str, all_t: float, all_o: float) -> Column:
         """s(G) of counts t and o."""
@@ -183,25 +185,34 @@ def likelihood_ratios(rows: DataFrame, evidence: float, slice_bytes: int, bucket
     both = often.join(of_w, "w").join(of_h, "h")
     given = lambda c, own: F.when(F.col(f"n_{c}") > 0, (F.greatest(F.col(own) - 1, F.lit(0)) + F.col(f"after_{c}") * F.col(f"p_{c}")) / F.col(f"n_{c}")).otherwise(F.col(f"p_{c}"))
     sure = weight("t", "o", n["n_t"], n["n_o"])
-    double = both.select("h", "w", (sure * F.log(given("t", "t") / given("o", "o")) + (1 - sure) * F.col("e_w")).alias("e"))
-    single = of_w.where("e_w <> 0").select(F.lit(None).cast("bigint").alias("h"), "w", F.col("e_w").alias("e"))
+    double = both.select("h", "w", (sure * F.log(given("t", "t") / given("o", "o")) + (1 - sure) * F.col("e_w")).cast("float").alias("e"))
+    single = of_w.where("e_w <> 0").select(F.lit(None).cast("bigint").alias("h"), "w", F.col("e_w").cast("float").alias("e"))
     out = materialize(single.unionByName(double), "ratios")
     discard(often, words)
     return out
 
 
+def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(is_pair, key, e) of rows (h, w, e): the key of a word is its hash."""
+    for batch in batches:
+        is_pair = batch.column("h").is_valid()
+        h, w = (batch.column(c).fill_null(0).to_numpy().view(np.uint64) for c in "hw")
+        keys = np.where(is_pair.to_numpy(zero_copy_only=False), pair_keys(h, w), w).view(np.int64)
+        yield pa.RecordBatch.from_arrays([is_pair, pa.array(keys), batch.column("e")], names=["is_pair", "key", "e"])
+
+
 class Model:
-    """Expressions of a model in sorted arrays."""
+    """Expressions of a model in sorted arrays, from tables (key, e) of pairs and words."""
+
+    def __init__(self, pairs: pa.Table, words: pa.Table):
+        self.pairs, self.of_pair = self._sorted(pairs)
+        self.words, self.of_word = self._sorted(words)
 
-    def __init__(self, table: pa.Table):
-        is_pair = table.column("h").is_valid().to_numpy()
-        h, w = (table.column(c).fill_null(0).to_numpy().astype("<i8").view(np.uint64) for c in "hw")
-        e = table.column("e").to_numpy().astype(float)
-        keys = pair_keys(h[is_pair], w[is_pair])
+    @staticmethod
+    def _sorted(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        keys, e = table.column("key").to_numpy().view(np.uint64), table.column("e").to_numpy()
         order = np.argsort(keys, kind="stable")
-        self.pairs, self.of_pair = keys[order], e[is_pair][order]
-        order = np.argsort(w[~is_pair], kind="stable")
-        self.words, self.of_word = w[~is_pair][order], e[~is_pair][order]
+        return keys[order], e[order]
 
     def evidence(self, before: np.ndarray, word: np.ndarray) -> np.ndarray:
         """e of each word after the one before it."""
@@ -219,7 +230,7 @@ def _look_up(keys: np.ndarray, known: np.ndarray, values: np.ndarray, other: flo
 def _judged(batch: pa.RecordBatch, model: Model, span: int) -> pa.RecordBatch:
     """(id, mean_ratio, span_ratio) of the rows (id, text) of a batch."""
     before, word, first = word_pairs(*wordscan.utf8(batch.column("text")))
-    total = np.concatenate(([0.0], np.cumsum(model.evidence(before, word))))
+    total = np.concatenate(([0.0], np.cumsum(model.evidence(before, word), dtype=float)))
     n = np.diff(first)
     mean = (total[first[1:]] - total[first[:-1]]) / np.maximum(n, 1)
     best = mean.copy()
@@ -232,18 +243,20 @@ def _judged(batch: pa.RecordBatch, model: Model, span: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.round(mean, 9)), pa.array(np.round(best, 9))], names=["id", "mean_ratio", "span_ratio"])
 
 
-def text_ratios(docs: DataFrame, model: DataFrame, span: int, broadcast_rows: int, slice_bytes: int) -> DataFrame:
-    """(id, mean_ratio, span_ratio) of rows (id, text)."""
+def text_ratios(docs: DataFrame, model: DataFrame, span: int, broadcast_rows: int, slice_bytes: int) -> tuple[DataFrame, Broadcast | None]:
+    """(id, mean_ratio, span_ratio) of rows (id, text), and what was sent for it."""
     kind = docs.schema["id"].dataType.simpleString()
     result = f"id {kind}, mean_ratio double, span_ratio double"
     if model.count() <= broadcast_rows:
-        sent = docs.sparkSession.sparkContext.broadcast(Model(model.toArrow()))
+        table = materialize(model.mapInArrow(keyed, "is_pair boolean, key bigint, e float"), "keyed")
+        sent = docs.sparkSession.sparkContext.broadcast(Model(*(table.where(c).select("key", "e").toArrow() for c in ("is_pair", "not is_pair"))))
+        discard(table)
 
         def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in wordscan.slices(batches, "text", slice_bytes):
                 yield _judged(batch, sent.value, span)
 
-        return docs.mapInArrow(judge, result)
+        return docs.mapInArrow(judge, result), sent
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -271,8 +284,10 @@ def text_ratios(docs: DataFrame, model: DataFrame, span: int, broadcast_rows: in
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, rows in opened(batches):
-            known = row.column("known").flatten()
-            yield _judged(rows, Model(pa.table(known.flatten(), names=["h", "w", "e"])), span)
+            known = pa.RecordBatch.from_arrays(row.column("known").flatten().flatten(), names=["h", "w", "e"])
+            known = next(keyed(iter([known])))
+            flags = known.column("is_pair")
+            yield _judged(rows, Model(*(pa.Table.from_batches([known.filter(x)]) for x in (flags, pc.invert(flags)))), span)
 
     chunks = materialize(docs.mapInArrow(pack, f"chunk bigint, ids array<{kind}>, texts array<string>"), "chunks")
     asked = chunks.select("chunk", "texts", "ids").mapInArrow(ask, "chunk bigint, h bigint, w bigint")
@@ -280,9 +295,9 @@ def text_ratios(docs: DataFrame, model: DataFrame, span: int, broadcast_rows: in
     here, there = (asked.where(f"h is {x}null") for x in ("not ", "")), (model.where(f"h is {x}null") for x in ("not ", ""))
     found = next(here).join(next(there), ["h", "w"]).select("chunk", "h", "w", "e").unionByName(next(here).join(next(there).drop("h"), "w").select("chunk", F.lit(None).cast("bigint").alias("h"), "w", "e"))
     known = found.groupBy("chunk").agg(F.collect_list(F.struct("h", "w", "e")).alias("known"))
-    empty = F.array().cast("array<struct<h:bigint,w:bigint,e:double>>")
+    empty = F.array().cast("array<struct<h:bigint,w:bigint,e:float>>")
     full = chunks.join(known, "chunk", "left").select("ids", "texts", F.coalesce("known", empty).alias("known"))
-    return full.mapInArrow(answer, result)
+    return full.mapInArrow(answer, result), None
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2, steps: int = 50) -> np.ndarray:
@@ -329,7 +344,7 @@ def toxicity(
     broadcast_rows: int = 8_000_000,
     broadcast_labels: int = 1_000_000,
     slice_bytes: int = 2 << 20,
-    count_bytes: int = 3 << 20,
+    count_bytes: int = 2 << 20,
     bucket_bytes: int = 16 << 20,
     blob_bytes: int = 512,
 ) -> DataFrame:
@@ -349,8 +364,11 @@ def toxicity(
     learned = known.join(F.broadcast(tune), "id", "left_anti").select("id", "toxic")
     counted = distinct_texts(rows.join(near(learned), "id"), broadcast_labels)
     model = likelihood_ratios(counted, evidence, count_bytes, bucket_bytes, blob_bytes)
-    ratios = materialize(text_ratios(rows, model, span, broadcast_rows, slice_bytes), "scored")
+    found, sent = text_ratios(rows, model, span, broadcast_rows, slice_bytes)
+    ratios = materialize(found, "scored")
     discard(model)
+    if sent is not None:
+        sent.destroy()
     release(docs.sparkSession)
     sample = ratios.join(F.broadcast(tune), "id").select("id", "mean_ratio", "span_ratio", "toxic").distinct().orderBy(F.xxhash64("id"), "id", "mean_ratio", "span_ratio")
     sample = sample.limit(calibration_rows).select("mean_ratio", "span_ratio", "toxic").collect()
