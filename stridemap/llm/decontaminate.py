@@ -263,7 +263,7 @@ def find_contamination(
     item_col: str = "item_id",
     item_text_col: str = "text",
     window: int = 10,
-    shard_bytes: int = 4 << 20,
+    shard_bytes: int = 2 << 20,
     block_bytes: int = 4 << 20,
 ) -> DataFrame:
     """One row for each document: id, n_words, n_hit, items (sorted strings) and spans, the merged
