@@ -2,7 +2,8 @@
 
 Each round extends the nodes that the last one improved by one edge and keeps the least time of each node.
 Edge times are above zero and a path's total only grows, so pruning by budget in every round is exact. Parallel edges
-are reduced to the least first. Edges lie by source in a written table, and rounds join the frontier to them.
+are reduced to the least first and written once. A round joins the frontier to them, broadcast where it has at most
+`broadcast_rows` rows: then the edges are scanned where they lie; else both sides are shuffled by node.
 """
 
 from __future__ import annotations
@@ -17,16 +18,19 @@ def least_edges(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src", "dst").agg(F.min(F.col("seconds").cast("double")).alias("seconds"))
 
 
-def shortest_paths(edges: DataFrame, searches: DataFrame, max_rounds: int = 100_000) -> DataFrame:
+def shortest_paths(edges: DataFrame, searches: DataFrame, max_rounds: int = 100_000, broadcast_rows: int = 500_000) -> DataFrame:
     """(search, node, seconds) for searches (search, origin, budget); the origin is there with 0."""
-    graph = materialize(least_edges(edges).repartition("src"), "edges")
+    graph = materialize(least_edges(edges), "edges")
     searches = materialize(searches.select("search", "origin", F.col("budget").cast("double")), "searches")
     few = searches.count() <= 100_000
     limit = F.broadcast(searches.select("search", "budget")) if few else searches.select("search", "budget")
     best = materialize(searches.select("search", F.col("origin").alias("node"), F.lit(0.0).alias("seconds"), F.lit(True).alias("fresh")), "best")
+    n = 1 if few else broadcast_rows + 1
     for _ in range(max_rounds):
         frontier = best.where("fresh").select("search", F.col("node").alias("src"), F.col("seconds").alias("so_far"))
-        offers = frontier.join(graph, "src").select("search", F.col("dst").alias("node"), (F.col("so_far") + F.col("seconds")).alias("offer"))
+        if n <= broadcast_rows:  # counted while it was written
+            frontier = F.broadcast(frontier)
+        offers = graph.join(frontier, "src").select("search", F.col("dst").alias("node"), (F.col("so_far") + F.col("seconds")).alias("offer"))
         offers = offers.join(limit, "search").where(F.col("offer") <= F.col("budget")).groupBy("search", "node").agg(F.min("offer").alias("offer"))
         both = best.join(offers, ["search", "node"], "full")
         better = F.coalesce(F.col("offer") < F.col("seconds"), F.col("seconds").isNull())
@@ -50,24 +54,33 @@ def tree_edges(reached: DataFrame, edges: DataFrame, searches: DataFrame) -> Dat
     return tight.groupBy("search", "dst").agg(F.min("src").alias("src"), F.min_by("seconds", "src").alias("seconds")).select("search", "src", "dst", "seconds")
 
 
-def routes_to(tree: DataFrame, targets: DataFrame, searches: DataFrame, max_steps: int = 1_000_000) -> DataFrame:
+def routes_to(tree: DataFrame, targets: DataFrame, searches: DataFrame) -> DataFrame:
     """(search, dest, seq, src, dst, seconds) for targets (search, dest): the tree's edges from the origin, in travel order. A
-    target that wasn't reached, and the origin itself, have no rows."""
-    tree = materialize(tree, "tree")
-    at = materialize(targets.select("search", "dest", F.col("dest").alias("node")), "at")
-    parts: DataFrame | None = None
-    for step in range(max_steps):
-        found = at.join(tree, (at["search"] == tree["search"]) & (at["node"] == tree["dst"])).select(at["search"], "dest", F.lit(step).alias("back"), "src", "dst", "seconds")
-        found, n = materialize_counted(found.withColumn("any", F.lit(True)), "any", "steps")
+    target that wasn't reached, and the origin itself, have no rows.
+
+    By doubling: after k rounds every target has its last 2**k edges, and every node the one 2**k edges before it, so the rounds are
+    the logarithm of the longest path."""
+    edges = materialize(tree.select("search", "dst", "src", "seconds"), "tree")
+    jump = edges.select("search", F.col("dst").alias("node"), F.col("src").alias("up"))
+    # (search, dest, node, back): a node on the way to dest, back edges before it
+    on_way = materialize(targets.select("search", "dest", F.col("dest").alias("node"), F.lit(0).cast("bigint").alias("back")), "ways")
+    step = 1
+    while True:
+        further = on_way.join(jump, ["search", "node"]).select("search", "dest", F.col("up").alias("node"), (F.col("back") + step).alias("back"), F.lit(True).alias("fresh"))
+        following, n = materialize_counted(on_way.withColumn("fresh", F.lit(False)).unionByName(further), "fresh", "ways")
+        discard(on_way)
+        on_way = following.drop("fresh")
+        on_way._stridemap_path = following._stridemap_path
         if n == 0:
             break
-        found = found.drop("any")
-        parts = found if parts is None else parts.unionByName(found)
-        at = found.select("search", "dest", F.col("src").alias("node"))
-    if parts is None:
-        parts = at.join(tree, "search").where("false").select("search", "dest", F.lit(0).alias("back"), "src", "dst", "seconds")
-    last = parts.groupBy("search", "dest").agg(F.max("back").alias("last"))
-    return parts.join(last, ["search", "dest"]).select("search", "dest", (F.col("last") - F.col("back")).alias("seq"), "src", "dst", "seconds")
+        doubled = jump.select("search", "node", F.col("up").alias("middle")).join(jump.select("search", F.col("node").alias("middle"), "up"), ["search", "middle"])
+        doubled = materialize(doubled.select("search", "node", "up"), "jumps")
+        if step > 1:
+            discard(jump)
+        jump, step = doubled, step * 2
+    used = on_way.join(edges.withColumnRenamed("dst", "node"), ["search", "node"])
+    last = used.groupBy("search", "dest").agg(F.max("back").alias("last"))
+    return used.join(last, ["search", "dest"]).select("search", "dest", (F.col("last") - F.col("back")).alias("seq"), "src", F.col("node").alias("dst"), "seconds")
 
 
 def edges_from(edges: DataFrame, node: int) -> DataFrame:

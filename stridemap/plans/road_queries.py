@@ -13,7 +13,8 @@ from stridemap.sources import fixtures, snapshots
 
 BUDGET = 40
 ORIGIN = 0
-BATCH = 10
+#: Origins of the batch: every node whose number this divides.
+EVERY = 50
 
 EDGE_SQL = """
 after AS (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS dst, CAST(l_quantity AS INT) AS seconds FROM lineitem),
@@ -33,24 +34,27 @@ dist(search, node, seconds) USING KEY (search, node) AS (
 
 
 ONE_SQL = f"SELECT 0 AS search, {ORIGIN} AS origin, {BUDGET} AS budget"
-BATCH_SQL = f"SELECT i AS search, i * 7 AS origin, 20 AS budget FROM range({BATCH}) r(i)"
+BATCH_SQL = f"SELECT p_partkey AS search, p_partkey AS origin, 20 AS budget FROM part WHERE p_partkey % {EVERY} = 0"
 TREE_SQL = f"tree AS (SELECT e.dst, min(e.src) AS src, arg_min(e.seconds, e.src) AS seconds FROM least e JOIN dist a ON a.node = e.src JOIN dist b ON b.node = e.dst WHERE a.seconds + e.seconds = b.seconds AND e.dst <> {ORIGIN} GROUP BY e.dst)"
 
 
-def _weak_sql(most: int) -> str:
-    return f"""sparse AS (SELECT DISTINCT src, dst FROM edges WHERE seconds <= {most}),
-links AS (SELECT src AS u, dst AS v FROM sparse UNION SELECT dst, src FROM sparse),
+WEAK_SQL = """links AS (SELECT src AS u, dst AS v FROM edges UNION SELECT dst, src FROM edges),
 comp(node, component) USING KEY (node) AS (
   SELECT DISTINCT u, u FROM links
   UNION
   SELECT b.v, min(c.component) FROM comp c JOIN links b ON b.u = c.node JOIN recurring.comp r ON r.node = b.v WHERE c.component < r.component GROUP BY b.v)"""
 
-
-def _strong_sql(most: int) -> str:
-    return f"""sparse AS (SELECT DISTINCT src, dst FROM edges WHERE seconds <= {most}),
-closure(a, b) AS (SELECT src, dst FROM sparse UNION SELECT c.a, s.dst FROM closure c JOIN sparse s ON s.src = c.b),
-nodes AS (SELECT src AS node FROM sparse UNION SELECT dst FROM sparse),
-strong AS (SELECT n.node, least(n.node, coalesce(min(c.b), n.node)) AS component FROM nodes n LEFT JOIN (SELECT x.a, x.b FROM closure x JOIN closure y ON y.a = x.b AND y.b = x.a) c ON c.a = n.node GROUP BY n.node)"""
+#: The component of the node with most edges is what it reaches and what reaches it; the others come from the closure of what is left.
+STRONG_SQL = """arcs AS MATERIALIZED (SELECT DISTINCT src, dst FROM edges),
+hub AS (SELECT src AS node FROM arcs GROUP BY src ORDER BY count(*) DESC, src LIMIT 1),
+fwd(node) AS (SELECT node FROM hub UNION SELECT a.dst FROM fwd f JOIN arcs a ON a.src = f.node),
+bwd(node) AS (SELECT node FROM hub UNION SELECT a.src FROM bwd f JOIN arcs a ON a.dst = f.node),
+big AS MATERIALIZED (SELECT node FROM fwd INTERSECT SELECT node FROM bwd),
+rest AS MATERIALIZED (SELECT a.src, a.dst FROM arcs a ANTI JOIN big x ON x.node = a.src ANTI JOIN big y ON y.node = a.dst),
+closure(a, b) AS (SELECT src, dst FROM rest UNION SELECT c.a, s.dst FROM closure c JOIN rest s ON s.src = c.b),
+nodes AS (SELECT src AS node FROM arcs UNION SELECT dst FROM arcs),
+strong AS (SELECT node, (SELECT min(node) FROM big) AS component FROM big UNION ALL
+  SELECT n.node, least(n.node, coalesce(min(c.b), n.node)) FROM nodes n ANTI JOIN big USING (node) LEFT JOIN (SELECT x.a, x.b FROM closure x JOIN closure y ON y.a = x.b AND y.b = x.a) c ON c.a = n.node GROUP BY n.node)"""
 
 
 def _sql(tail: str, *parts: str) -> str:
@@ -110,7 +114,8 @@ def road_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def road_reach_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    searches = spark.range(BATCH).select(F.col("id").cast("int").alias("search"), (F.col("id") * 7).alias("origin"), F.lit(20).alias("budget"))
+    origins = read(spark, sf_dir, "part").where(F.pmod("p_partkey", F.lit(EVERY)) == 0)
+    searches = origins.select(F.col("p_partkey").alias("search"), F.col("p_partkey").alias("origin"), F.lit(20).alias("budget"))
     found = shortest_path.shortest_paths(fixtures.road_edges(spark, sf_dir), searches)
     return found.select("search", "node", F.col("seconds").cast("bigint").alias("seconds"))
 
@@ -123,12 +128,21 @@ def road_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def route_to(spark: SparkSession, sf_dir: str) -> DataFrame:
     reached, edges = _reached(spark, sf_dir)
     tree = shortest_path.tree_edges(reached, edges, _one(spark))
-    targets = reached.where("node % 10 = 3").select("search", F.col("node").alias("dest"))
+    targets = reached.select("search", F.col("node").alias("dest"))
     return shortest_path.routes_to(tree, targets, _one(spark)).select("dest", F.col("seq").cast("bigint").alias("seq"), "src", "dst", F.col("seconds").cast("bigint").alias("seconds"))
 
 
 def weak_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components.connected_components(fixtures.road_edges(spark, sf_dir, 1))
+    return components.connected_components(fixtures.road_edges(spark, sf_dir))
+
+
+def weak_components_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by joins alone, as large graphs are solved."""
+    return components.connected_components(fixtures.road_edges(spark, sf_dir), local_edges=0)
+
+
+def strong_components_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components.strong_components(fixtures.road_edges(spark, sf_dir), local_edges=0)
 
 
 def component_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,12 +156,12 @@ def kept_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kept_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = materialize(kept_nodes(spark, sf_dir), "kept")
-    edges = fixtures.road_edges(spark, sf_dir, 1)
+    edges = fixtures.road_edges(spark, sf_dir)
     return edges.join(kept.select(F.col("node").alias("src")), "src", "left_semi").join(kept.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst", "seconds")
 
 
 def strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components.strong_components(fixtures.road_edges(spark, sf_dir, 3))
+    return components.strong_components(fixtures.road_edges(spark, sf_dir))
 
 
 def origin_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,7 +194,7 @@ def nearest_road_node(spark: SparkSession, sf_dir: str) -> DataFrame:
     return places.nearest(points, clicks, "node")
 
 
-QUERIES = {f.__name__: f for f in (road_speed_direction, road_edges, road_skipped, road_reach, road_reach_batch, road_tree, route_to, weak_components, component_totals, kept_nodes, kept_edges, strong_components, origin_eligible, eligible_share, csr_offsets, road_tips, nearest_road_node)}
+QUERIES = {f.__name__: f for f in (road_speed_direction, road_edges, road_skipped, road_reach, road_reach_batch, road_tree, route_to, weak_components, weak_components_shuffled, component_totals, kept_nodes, kept_edges, strong_components, strong_components_shuffled, origin_eligible, eligible_share, csr_offsets, road_tips, nearest_road_node)}
 
 
 def _way_rows() -> str:
@@ -211,20 +225,22 @@ ORACLES = {
     "route_to": _sql(
         "SELECT dest, max(back) OVER (PARTITION BY dest) - back AS seq, src, dst, CAST(seconds AS BIGINT) AS seconds FROM walk",
         _reach_sql(ONE_SQL), TREE_SQL,
-        "walk AS (SELECT dst AS dest, 0 AS back, src, dst, seconds FROM tree WHERE dst % 10 = 3 UNION ALL SELECT w.dest, w.back + 1, t.src, t.dst, t.seconds FROM walk w JOIN tree t ON t.dst = w.src)",
+        "walk AS (SELECT dst AS dest, 0 AS back, src, dst, seconds FROM tree UNION ALL SELECT w.dest, w.back + 1, t.src, t.dst, t.seconds FROM walk w JOIN tree t ON t.dst = w.src)",
     ),
-    "weak_components": _sql("SELECT node, component FROM comp", _weak_sql(1)),
-    "component_totals": _sql("SELECT count(*) FILTER (n < 10) AS n_dropped, CAST(coalesce(sum(n) FILTER (n < 10), 0) AS BIGINT) AS n_nodes_dropped, count(*) AS n_components FROM (SELECT component, count(*) AS n FROM comp GROUP BY component)", _weak_sql(1)),
-    "kept_nodes": _sql("SELECT node FROM comp WHERE component IN (SELECT component FROM comp GROUP BY component HAVING count(*) >= 10)", _weak_sql(1)),
-    "kept_edges": _sql("SELECT e.src, e.dst, e.seconds FROM edges e WHERE e.seconds <= 1 AND e.src IN (SELECT node FROM kept) AND e.dst IN (SELECT node FROM kept)", _weak_sql(1), "kept AS (SELECT node FROM comp WHERE component IN (SELECT component FROM comp GROUP BY component HAVING count(*) >= 10))"),
-    "strong_components": _sql("SELECT node, component FROM strong", _strong_sql(3)),
-    "origin_eligible": _sql("SELECT node, count(*) OVER (PARTITION BY component) >= 20 AS origin_eligible FROM strong", _strong_sql(3)),
-    "eligible_share": _sql("SELECT count(*) FILTER (f) AS n_eligible, round(avg(CAST(f AS INT)) * 100, 6) AS percent FROM (SELECT count(*) OVER (PARTITION BY component) >= 20 AS f FROM strong)", _strong_sql(3)),
+    "weak_components": _sql("SELECT node, component FROM comp", WEAK_SQL),
+    "weak_components_shuffled": _sql("SELECT node, component FROM comp", WEAK_SQL),
+    "component_totals": _sql("SELECT count(*) FILTER (n < 10) AS n_dropped, CAST(coalesce(sum(n) FILTER (n < 10), 0) AS BIGINT) AS n_nodes_dropped, count(*) AS n_components FROM (SELECT component, count(*) AS n FROM comp GROUP BY component)", WEAK_SQL),
+    "kept_nodes": _sql("SELECT node FROM comp WHERE component IN (SELECT component FROM comp GROUP BY component HAVING count(*) >= 10)", WEAK_SQL),
+    "kept_edges": _sql("SELECT e.src, e.dst, e.seconds FROM edges e WHERE e.src IN (SELECT node FROM kept) AND e.dst IN (SELECT node FROM kept)", WEAK_SQL, "kept AS (SELECT node FROM comp WHERE component IN (SELECT component FROM comp GROUP BY component HAVING count(*) >= 10))"),
+    "strong_components": _sql("SELECT node, component FROM strong", STRONG_SQL),
+    "strong_components_shuffled": _sql("SELECT node, component FROM strong", STRONG_SQL),
+    "origin_eligible": _sql("SELECT node, count(*) OVER (PARTITION BY component) >= 20 AS origin_eligible FROM strong", STRONG_SQL),
+    "eligible_share": _sql("SELECT count(*) FILTER (f) AS n_eligible, round(avg(CAST(f AS INT)) * 100, 6) AS percent FROM (SELECT count(*) OVER (PARTITION BY component) >= 20 AS f FROM strong)", STRONG_SQL),
     "csr_offsets": _sql("SELECT p.node, CAST(coalesce(sum(d) OVER (ORDER BY p.node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first, d AS degree FROM (SELECT p.node, count(e.src) AS d FROM places p LEFT JOIN edges e ON e.src = p.node GROUP BY p.node) p"),
     "road_tips": _sql(
         "SELECT cell_e, cell_n, node, CAST(seconds AS BIGINT) AS seconds FROM (SELECT CAST(floor(easting / 400.0::DOUBLE) AS INT) AS cell_e, CAST(floor(northing / 400.0::DOUBLE) AS INT) AS cell_n, d.node, d.seconds FROM dist d JOIN places USING (node) "
         f"WHERE d.node NOT IN (SELECT src FROM tree) AND {BUDGET} - d.seconds <= 180) QUALIFY row_number() OVER (PARTITION BY cell_e, cell_n ORDER BY seconds DESC, node) = 1", _reach_sql(ONE_SQL), TREE_SQL),
     "nearest_road_node": _sql(
         "SELECT target, node, CAST(d2 AS BIGINT) AS d2 FROM (SELECT i AS target, p.node, (CAST(easting AS BIGINT) - (2600011 + i * 1237)) ** 2 + (CAST(northing AS BIGINT) - (1200013 + i * 17)) ** 2 AS d2 FROM places p JOIN good USING (node), range(20) r(i)) QUALIFY row_number() OVER (PARTITION BY target ORDER BY d2, node) = 1",
-        _strong_sql(3), "good AS (SELECT node FROM (SELECT node, count(*) OVER (PARTITION BY component) AS n FROM strong) WHERE n >= 20)"),
+        STRONG_SQL, "good AS (SELECT node FROM (SELECT node, count(*) OVER (PARTITION BY component) AS n FROM strong) WHERE n >= 20)"),
 }

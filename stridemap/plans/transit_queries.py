@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +13,9 @@ from stridemap.operators import places, raptor
 from stridemap.operators.joins import asof_first
 from stridemap.plans import transit_build as tb
 from stridemap.plans.itinerary import itinerary_html
-from stridemap.session import materialize
+from stridemap.session import materialize, shared_dir
 from stridemap.sources.fixtures import REFERENCE_DATE, transit_feed
+from stridemap.sources.gtfs import COLUMNS, read_feed
 
 DEPARTURE, BUDGET, ORIGIN = 28_800, 5_400, 0
 BATCH = 60
@@ -23,7 +25,7 @@ ROUNDS = 6
 
 FEED_SQL = """
 raw AS (SELECT l_orderkey AS trip, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS seq FROM lineitem),
-feed_visits AS (SELECT trip, (trip % 60 + seq + l_suppkey % 3) % 60 AS stop, seq, 18000 + (trip * 7919 % 1080) * 60 + (seq - 1) * 600 AS arr, (trip + seq) % 97 <> 0 AS timed FROM raw WHERE seq <= 4),
+feed_visits AS (SELECT trip, (trip % 60 + seq + l_suppkey % 3) % 60 AS stop, seq, 18000 + (trip * 7919 % 1080) * 60 + (seq - 1) * 600 AS arr, (trip + seq) % 97 <> 0 AS timed FROM raw),
 active AS (SELECT o_orderkey AS trip, CAST(substr(o_orderpriority, 1, 1) AS INT) - 1 AS route_type FROM orders WHERE o_orderkey % 7 < 5),
 visits AS (SELECT v.trip, v.stop, v.seq, v.arr, v.arr + 30 AS dep FROM feed_visits v JOIN active USING (trip) WHERE timed),
 tv AS (SELECT trip, stop, arr, dep, row_number() OVER (PARTITION BY trip ORDER BY seq) - 1 AS pos, count(*) OVER (PARTITION BY trip) AS n FROM visits QUALIFY n >= 2),
@@ -142,6 +144,16 @@ def stop_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.stop_times.select(F.col("trip_id").cast("bigint").alias("trip_id"), "pos", "stop", "arr", "dep")
 
 
+def csv_stop_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """stop_visits of the feed written as CSV files and scanned again."""
+    feed = transit_feed(spark, sf_dir)
+    folder = f"{shared_dir(spark)}/feed-{uuid.uuid4().hex}"
+    for name in COLUMNS:
+        getattr(feed, name).write.option("header", True).option("quote", '"').option("escape", '"').csv(f"{folder}/{name}.txt")
+    table = tb.build(read_feed(spark, folder), REFERENCE_DATE)
+    return table.stop_times.select(F.col("trip_id").cast("bigint").alias("trip_id"), "pos", "stop", "arr", "dep")
+
+
 def patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _timetable(spark, sf_dir).patterns.select(tb.pattern_name(F.col("stop_seq")).alias("pattern"), "mode", "n_trips", F.size("stop_seq").cast("bigint").alias("n_stops"))
 
@@ -264,7 +276,7 @@ def legs_by_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raptor.network_legs(_reached(spark, sf_dir)).groupBy(mode.alias("mode")).agg(F.count("*").alias("n_legs"))
 
 
-QUERIES = {f.__name__: f for f in (active_services, active_trips, trips_by_mode, matched_rows, stop_visits, patterns, pattern_trips, patterns_at_stop, build_counters, stops_lv95, explicit_transfers, walking_transfers, all_transfers, fifo_violations, earliest_trip, transit_reach, transit_reach_batch, transit_legs, journey_to, itinerary_text, transit_tips, isochrone_hexes, nearest_stop, stop_by_name, earliest_10, latest_5, legs_by_mode)}
+QUERIES = {f.__name__: f for f in (active_services, active_trips, trips_by_mode, matched_rows, stop_visits, csv_stop_visits, patterns, pattern_trips, patterns_at_stop, build_counters, stops_lv95, explicit_transfers, walking_transfers, all_transfers, fifo_violations, earliest_trip, transit_reach, transit_reach_batch, transit_legs, journey_to, itinerary_text, transit_tips, isochrone_hexes, nearest_stop, stop_by_name, earliest_10, latest_5, legs_by_mode)}
 
 
 def _itinerary_sql() -> str:
@@ -314,6 +326,7 @@ ORACLES = {
     "trips_by_mode": "SELECT CAST(CAST(substr(o_orderpriority, 1, 1) AS INT) - 1 AS VARCHAR) AS route_type, count(*) AS n_trips FROM orders WHERE o_orderkey % 7 < 5 GROUP BY ALL",
     "matched_rows": _sql("SELECT count(*) AS n_rows, count(DISTINCT stop) AS n_stops FROM feed_visits JOIN active USING (trip)"),
     "stop_visits": _sql("SELECT trip AS trip_id, pos, stop, arr, dep FROM tv"),
+    "csv_stop_visits": _sql("SELECT trip AS trip_id, pos, stop, arr, dep FROM tv"),
     "patterns": _sql("SELECT pattern, mode, count(*) AS n_trips, any_value(n_stops) AS n_stops FROM numbered JOIN pattern_modes USING (pattern) GROUP BY pattern, mode"),
     "pattern_trips": _sql("SELECT pattern, idx AS trip, trip AS trip_id FROM numbered"),
     "patterns_at_stop": _sql("SELECT stop, count(*) AS n_places, count(DISTINCT pattern) AS n_patterns FROM (SELECT DISTINCT pattern, pos, stop FROM tv JOIN numbered USING (trip)) GROUP BY stop"),

@@ -21,10 +21,10 @@ def _hms(seconds: Column) -> Column:
 
 
 def transit_feed(spark: SparkSession, sf_dir: str, explicit: bool = True) -> Feed:
-    """A feed: an order is a trip of up to four visits on a ring of 60 stops; parts are stops."""
+    """A feed: an order is a trip, each of its lines a visit, on a ring of 60 stops; parts are stops."""
     lines, orders = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders")
     seq = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*IN_ORDER))
-    visits = lines.select("l_orderkey", "l_suppkey", *IN_ORDER[:2], "l_quantity", seq.alias("seq")).where("seq <= 4")
+    visits = lines.select("l_orderkey", "l_suppkey", *IN_ORDER[:2], "l_quantity", seq.alias("seq"))
     visits = visits.select("l_orderkey", "l_suppkey", F.col("seq").cast("bigint").alias("seq"))
     arrival = F.lit(18000) + F.pmod(F.col("l_orderkey") * 7919, F.lit(1080)) * 60 + (F.col("seq") - 1) * 600
     timed = F.pmod(F.col("l_orderkey") + F.col("seq"), F.lit(97)) != 0
@@ -52,12 +52,11 @@ def transit_feed(spark: SparkSession, sf_dir: str, explicit: bool = True) -> Fee
     return Feed(calendar_dates=calendar, trips=trips, routes=kinds, stops=stops, stop_times=stop_times, transfers=transfers)
 
 
-def road_edges(spark: SparkSession, sf_dir: str, most_seconds: int | None = None) -> DataFrame:
+def road_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, dst, seconds): parts that follow each other in an order."""
     after = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy(*IN_ORDER))
     edges = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), after.alias("dst"), F.col("l_quantity").cast("int").alias("seconds"))
-    edges = edges.where("dst is not null and dst <> src")
-    return edges if most_seconds is None else edges.where(F.col("seconds") <= most_seconds)
+    return edges.where("dst is not null and dst <> src")
 
 
 def road_places(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -118,3 +118,29 @@ def test_isochrone_covers_the_circle(spark):
                 want.add((q, r))
     assert set(found) == want and found[(0, 0)] == 0
     assert cut.count() < len(want)
+
+
+def test_nearest_of_none_and_of_many(spark):
+    from stridemap.operators.places import nearest
+
+    rng = random.Random(4)
+    points = [(k, rng.randrange(100_000), rng.randrange(3_000)) for k in range(400)] + [(900, 5, 5), (901, 5, 5), (902, None, 1)]
+    clicks = [(k, rng.randrange(-900_000, 900_000), rng.randrange(-50_000, 50_000)) for k in range(11_000)] + [(20_000, 5, 5), (20_001, None, 3)]
+    at = spark.createDataFrame(points, "node bigint, easting int, northing int")
+    asked = spark.createDataFrame(clicks, "target int, easting int, northing int")
+    got = {r["target"]: (r["d2"], r["node"]) for r in nearest(at, asked, "node").collect()}
+    known = [p for p in points if p[1] is not None]
+    for target, e, n in [*clicks[::97], clicks[-2]]:
+        assert got[target] == min(((x - e) ** 2 + (y - n) ** 2, node) for node, x, y in known)
+    assert len(got) == 11_001 and got[20_000] == (0, 900)
+    assert nearest(at, asked.where("false"), "node").count() == 0 and nearest(at.where("false"), asked, "node").count() == 0
+
+
+def test_long_routes_by_doubling(spark):
+    from stridemap.operators.shortest_path import routes_to
+
+    n = 75
+    tree = spark.createDataFrame([(0, k, k + 1, 1.0) for k in range(n)], "search int, src bigint, dst bigint, seconds double")
+    targets = spark.createDataFrame([(0, n), (0, 3), (0, 0), (0, 999)], "search int, dest bigint")
+    got = routes_to(tree, targets, spark.createDataFrame([(0, 0, 9)], "search int, origin bigint, budget int")).collect()
+    assert sorted((r["dest"], r["seq"], r["src"], r["dst"]) for r in got) == [(d, k, k, k + 1) for d in (3, n) for k in range(d)]
