@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 
 def write_tables(folder: str, **tables: DataFrame) -> None:
-    """One Parquet table for each name; large ones are dealt out by their first column, so that later joins read few files."""
+    """One Parquet table for each name, partitioned as the frames are."""
     for name, frame in tables.items():
         frame.write.mode("overwrite").parquet(f"{folder}/{name}")
 
