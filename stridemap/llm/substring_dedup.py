@@ -7,7 +7,7 @@ residue in a set that holds every difference), names them, and derives the order
 suffixes from the next sampled one. With residues modulo 3 and full recursion a distributed
 sort moves some ten times the text in every round. Only prefixes of `length` bytes matter
 here, so the cover is one modulo 133 (twelve residues, in which every difference occurs),
-and recursion ends after two rounds:
+and two rounds do, without triples or recursion:
 
 1. Sampled prefixes. At every position whose residue (from its document's start) is in the
    cover, the prefix of 68 = 200 - 132 bytes gets a name. Names are sorted, and those that
