@@ -824,3 +824,16 @@ def test_scores_do_not_depend_on_the_way(spark, small):
     one = toxicity.toxicity(docs, labels).select("doc_id", "score")
     many = toxicity.toxicity(docs, labels, broadcast_rows=0, broadcast_labels=0, blob_bytes=1 << 30).select("doc_id", "score")
     assert {(r[0], round(r[1], 6)) for r in one.collect()} == {(r[0], round(r[1], 6)) for r in many.collect()}
+
+
+def test_a_large_model_is_dealt_out_in_rounds(spark, small, monkeypatch):
+    """Nothing gathers a chunk's expressions row by row, which took executors' memory on a few GB; each row is in one round."""
+    docs, _, labels = small
+    written, write = [], toxicity.materialize
+    monkeypatch.setattr(toxicity, "materialize", lambda df, name="t": written.append((name, df._jdf.queryExecution().toString())) or write(df, name))
+    one = toxicity.toxicity(docs, labels).select("doc_id", "mean_ratio", "span_ratio").collect()
+    toxicity.toxicity(docs, labels, broadcast_rows=0)
+    assert not any("collect_list" in plan for _, plan in written)
+    many = toxicity.toxicity(docs, labels, broadcast_rows=0, slice_bytes=1 << 17, bucket_bytes=1 << 18, round_bytes=1, rounds=3)
+    assert sorted(map(tuple, one)) == sorted(map(tuple, many.select("doc_id", "mean_ratio", "span_ratio").collect()))
+    assert [name for name, _ in written].count("round") == 4
